@@ -1,7 +1,7 @@
 """The subpackage's queries and their SQL, by name."""
 
-from stemloom.llm import queries_decontamination, queries_quality
+from stemloom.llm import queries_decontamination, queries_minhash, queries_quality
 
-MODULES = (queries_quality, queries_decontamination)
+MODULES = (queries_minhash, queries_quality, queries_decontamination)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
