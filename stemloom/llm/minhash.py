@@ -13,9 +13,14 @@ probability of at most ``MISS``.
 
 No bucket is gathered or expanded into all pairs. First each member of a bucket
 is compared with the bucket's least and greatest member; confirmed links are
-merged into components. Then, in buckets that still hold several components,
-the members outside the bucket's largest component are compared with the
-members of every other component; pairs within a component need no look.
+merged into components. Buckets that then hold one component are done. In the
+others, up to ``SMALL`` members are compared by estimate and confirmed pair by
+pair. The members of larger ones are brought together once for all bands, by
+the bucket's least member, dealt into blocks of ``BLOCK`` rows, and each two
+blocks are one task that counts common shingles of all its pairs at once by a
+matrix product and gives links between components only, no more than it has
+rows. Where most of a large family lies just below the threshold, this work
+grows with the square of that family, as proof that no link is lost.
 
 Defined results: null and empty texts, and texts without words, have no
 shingles and stay alone; fewer words than a shingle make one shingle of them
@@ -44,6 +49,10 @@ MISS = 1e-6
 #: Rows of the table by which texts are preselected before they are shuffled: its bound.
 SLOTS = 1 << 20
 LOW = 0x1111111111111111
+#: Members of a bucket that are compared pair by pair; rows of a block of a larger family; shingles counted at once.
+SMALL = 16
+BLOCK = 256
+COLUMNS = 4096
 
 
 def band_rows(threshold: float) -> int:
@@ -140,11 +149,7 @@ def alike(a: str, b: str, threshold: float) -> Column:
 
 def confirm(docs: DataFrame, pairs: DataFrame, words_each: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("id"))
-    slots = ends.select(slot("id").alias("slot")).distinct()  # at most SLOTS rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    texts = texts.join(F.broadcast(slots), slot("id") == F.col("slot"), "left_semi").dropDuplicates(["id"])
+    texts = preselected(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")))
     both = pairs.join(texts.withColumnsRenamed({"id": "u", "text": "a"}), "u").join(texts.withColumnsRenamed({"id": "v", "text": "b"}), "v").select("u", "v", "a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +168,80 @@ def confirm(docs: DataFrame, pairs: DataFrame, words_each: int, percent: int) ->
     return both.mapInArrow(compare, "u long, v long")
 
 
+def preselected(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of documents among which are all of ``ids``; the table that selects them has at most SLOTS rows."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
+    slots = ids.select(slot.alias("slot")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
+    return texts.join(F.broadcast(slots), slot == F.col("slot"), "left_semi").dropDuplicates(["id"])
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    value, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    number = np.full(len(value), -1)
+    number[times > 1] = np.arange(int((times > 1).sum()))
+    column = number[at]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+        there = np.zeros((len(sets), COLUMNS), np.float32)
+        there[row[a:b], column[a:b] - lo] = 1
+        out += there @ there.T
+    return out.astype(np.int64)
+
+
+def spanning(pairs: np.ndarray, labels: list[int]) -> list[int]:
+    """Indices of pairs that join components, none of them superfluous."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x] = parent.get(parent[x], parent[x])
+        return x
+
+    used = []
+    for k, (i, j) in enumerate(pairs.tolist()):
+        a, b = root(labels[i]), root(labels[j])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            used.append(k)
+    return used
+
+
+def compare_families(docs: DataFrame, members: DataFrame, words_each: int, percent: int) -> DataFrame:
+    """Links (u, v) between components among the members (hub, rep, c) of each hub."""
+    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("hub", "blocks")
+    texts = preselected(docs, members.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
+    dealt = members.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(texts, "rep")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c", "text")
+
+    def compare(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        own = t.column("own").to_numpy()
+        reps, labels = t.column("rep").to_pylist(), t.column("c").to_pylist()
+        sets = []
+        for x in t.column("text"):
+            data = np.frombuffer((x.as_py() or "").encode(), np.uint8)
+            sets.append(shingles(data, np.array([0, len(data)]), words_each)[0])
+        same, size, label = common(sets), np.array([len(x) for x in sets]), np.array(labels)
+        linked = 100 * same >= percent * (size[:, None] + size[None, :] - same)
+        linked &= label[:, None] != label[None, :]
+        if i != j:
+            linked &= own[:, None] != own[None, :]
+        pairs = np.argwhere(np.triu(linked, 1))
+        pairs = pairs[spanning(pairs, labels)]
+        ids = np.array(reps, np.int64)
+        u, v = ids[pairs[:, 0]], ids[pairs[:, 1]]
+        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
+
+    return dealt.groupBy("hub", "i", "j").applyInArrow(compare, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) and kept for each document."""
     threshold = percent / 100
@@ -179,15 +258,14 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) ->
     first = components(confirm(docs, cut(stars), words_each, percent))
 
     # what is left: buckets that hold more than one component
-    labelled = shared.join(first.select(F.col("u").alias("rep"), F.col("v").alias("c")), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
-    each = labelled.groupBy("key", "c").agg(F.count("*").alias("n"))
-    mixed = each.groupBy("key").agg(F.max(F.struct("n", F.col("c").alias("c"))).alias("top"), F.count("*").alias("k")).where("k > 1").select("key", F.col("top.c").alias("top"))
-    members = cut(labelled.join(mixed, "key").join(packed, "rep"))
-    left = members.where("c <> top").select("key", F.col("rep").alias("u"), F.col("c").alias("cu"), F.col("packed").alias("pu"))
-    right = members.select(F.col("key").alias("k2"), F.col("rep").alias("v"), F.col("c").alias("cv"), "top", F.col("packed").alias("pv"))
-    apart = (F.col("cv") == F.col("top")) | (F.col("cu") < F.col("cv"))
-    rest = left.join(right, (F.col("key") == F.col("k2")) & apart & alike("pu", "pv", threshold)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = cut(confirm(docs, cut(rest), words_each, percent))
+    labelled = shared.join(first.select(F.col("u").alias("rep"), F.col("v").alias("c")), "rep", "left").select("key", "rep", "lo", F.coalesce("c", "rep").alias("c"))
+    mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key", "n")
+    members = cut(labelled.join(mixed, "key"))
+    few = members.where(F.col("n") <= SMALL).join(packed, "rep")
+    side = lambda x, k: few.select(F.col("key").alias(k), F.col("rep").alias(x), F.col("c").alias(f"c{x}"), F.col("packed").alias(f"p{x}"))
+    rest = side("u", "k1").join(side("v", "k2"), (F.col("k1") == F.col("k2")) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & alike("pu", "pv", threshold)).select("u", "v").distinct()
+    large = members.where(F.col("n") > SMALL).select(F.col("lo").alias("hub"), "rep", "c").distinct()
+    more = cut(confirm(docs, cut(rest), words_each, percent).unionByName(compare_families(docs, large, words_each, percent)))
     links = components(first.unionByName(more)) if more.take(1) else first
 
     rep_of = reps.select("d1", "d2", "rep").join(links.select(F.col("u").alias("rep"), F.col("v").alias("c")), "rep", "left").select("d1", "d2", F.coalesce("c", "rep").alias("c"))
