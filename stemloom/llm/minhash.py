@@ -53,6 +53,8 @@ LOW = 0x1111111111111111
 SMALL = 16
 BLOCK = 256
 COLUMNS = 4096
+#: Pairs whose texts are compared at once.
+ROWS = 64
 
 
 def band_rows(threshold: float) -> int:
@@ -153,17 +155,23 @@ def confirm(docs: DataFrame, pairs: DataFrame, words_each: int, percent: int) ->
     both = pairs.join(texts.withColumnsRenamed({"id": "u", "text": "a"}), "u").join(texts.withColumnsRenamed({"id": "v", "text": "b"}), "v").select("u", "v", "a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for i in range(batch.num_rows):
-                sets = []
-                for c in (2, 3):
-                    data = np.frombuffer((batch.column(c)[i].as_py() or "").encode(), np.uint8)
-                    sets.append(shingles(data, np.array([0, len(data)]), words_each)[0])
-                same = len(np.intersect1d(*sets, assume_unique=True))
-                good.append(100 * same >= percent * (len(sets[0]) + len(sets[1]) - same))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(keep)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(lo, ROWS)
+                n = batch.num_rows
+                h, r, size = [], [], np.zeros(n, np.int64)
+                for column in ("a", "b"):
+                    for c in chunks(batch, column):
+                        x, row = shingles(c.data, c.offsets, words_each)
+                        h.append(x)
+                        r.append(row + c.lo)
+                        size += np.bincount(row + c.lo, minlength=n)
+                h, r = np.concatenate(h), np.concatenate(r)
+                order = np.lexsort((h, r))
+                h, r = h[order], r[order]
+                same = np.bincount(r[1:][(h[1:] == h[:-1]) & (r[1:] == r[:-1])], minlength=n)
+                keep = pa.array(100 * same >= percent * (size - same))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(keep)
 
     return both.mapInArrow(compare, "u long, v long")
 
