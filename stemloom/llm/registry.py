@@ -1,7 +1,7 @@
 """The subpackage's queries and their SQL, by name."""
 
-from stemloom.llm import queries_decontamination, queries_language, queries_minhash, queries_quality, queries_toxicity
+from stemloom.llm import queries_decontamination, queries_language, queries_minhash, queries_packing, queries_quality, queries_secrets, queries_toxicity
 
-MODULES = (queries_toxicity, queries_minhash, queries_quality, queries_decontamination, queries_language)
+MODULES = (queries_toxicity, queries_minhash, queries_packing, queries_secrets, queries_quality, queries_decontamination, queries_language)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
