@@ -1,11 +1,54 @@
-"""A training corpus from raw documents: five stages, each one operator."""
+"""A training corpus from raw documents in five stages, each one operator.
 
-STAGES: list = []
+Toxic documents go, one document of each near-duplicate group stays, documents
+that hold benchmark passages go, secrets are blotted out, and what is left is
+packed into sequences. Each stage takes the columns of documents and, but for
+the last, returns them; it works on all that its predecessor kept.
+
+Stages stand alone: each reads the table its predecessor wrote. Null and empty
+texts, repeated rows and empty tables are taken as the operators define.
+"""
+
+import public_tokenizers
+
+from stemloom.llm.decontamination import clean
+from stemloom.llm.minhash import one_of_each
+from stemloom.llm.packing import pack
+from stemloom.llm.secrets import redacted, scan
+from stemloom.llm.store import table
+from stemloom.llm.toxicity import score, train
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxicity(spark, docs, sf_dir):
+    machine = train(docs, table(spark, sf_dir, "labels"))
+    return score(docs, machine, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    return one_of_each(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    return clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark, docs, sf_dir):
+    return redacted(docs, scan(docs))
+
+
+def packing(spark, docs, sf_dir):
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secret_scan", secret_scan), ("packing", packing)]
+#: SQL can't express the first stage's model or the last one's tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

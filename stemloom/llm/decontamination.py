@@ -172,6 +172,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     return merged.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", F.col("any_item").alias("n_items"), (n_hit > 0).alias("contaminated"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, block_chars: int = 8_000_000) -> DataFrame:
+    """The documents, with all their columns, that hold no window of the benchmark."""
+    out = docs
+    for block in benchmark_blocks(benchmark, window, gram, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(tuple(block))  # at most block_chars characters' windows
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = Block(*shared.value)
+            for batch in batches:
+                for c in chunks(batch):
+                    words, rows = word_hashes(c.data, c.offsets)
+                    hit, _ = matches(words, rows, own, window, gram)
+                    good = np.ones(c.hi - c.lo, bool)
+                    good[rows[np.flatnonzero(hit)]] = False
+                    yield batch.slice(c.lo, c.hi - c.lo).filter(pa.array(good))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out
+
+
 def _keep_row(scan):
     """Carries the row number, which tells repeated doc_ids apart, past a scan."""
 

@@ -280,3 +280,9 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) ->
     known = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "d1", "d2").join(rep_of, ["d1", "d2"]).select("doc_id", "n_shingles", F.col("c").alias("component_id"))
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def one_of_each(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, with all their columns, of least doc_id in their group; rows repeated with their doc_id stay once."""
+    kept = near_duplicates(docs, words_each, percent).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)

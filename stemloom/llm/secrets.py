@@ -83,30 +83,39 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     return texts.select("blob", F.explode(found).alias("f")).select("blob", "f.*").where("spans is not null")
 
 
-def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(path, blob, spans sorted by start, then rule) of every version, from a ledger that has its blobs."""
+def _hits(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, spans sorted by start, then rule) of the blobs with findings of the rules' current versions."""
     current = F.lit(False)
     for r in rules:
         current |= (F.col("kind") == r.kind) & (F.col("version") == r.version)
-    hits = ledger.where(current & (F.size("spans") > 0)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))  # a blob has a row a rule
-    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    hits = hits.select("blob", F.array_sort(spans).alias("spans"))
-    return versions.join(hits, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")).alias("spans"))
+    hits = ledger.where(current & (F.size("spans") > 0)).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # a blob has a row a rule
+    return hits.select("blob", F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans"))
+
 
+def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(path, blob, spans) of every version, from a ledger that has its blobs."""
+    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
+    return versions.join(_hits(ledger, rules), "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans"))
 
-def redacted(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents with each secret's span replaced by its kind in brackets; texts without secrets stay as they are.
 
-    Spans that overlap are replaced as one, by the first one's kind.
+def redacted(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The documents with each secret's span replaced by its kind in brackets, and ``n_chars`` to match.
+
+    Spans that overlap are replaced as one, by the first one's kind; texts without secrets stay as they are.
     """
-    hits = found.where(F.size("spans") > 0).select(F.col("path").alias("_path"), "spans").dropDuplicates(["_path"])
+    text = F.col("text")
     start = F.struct(F.lit(1).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] + 1 >= acc["at"]
-        head = F.concat(acc["out"], F.expr("''"))
-        return F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), F.when(fresh, F.concat(head, F.substring(F.col("text"), acc["at"].cast("int"), (s["start"] + 1 - acc["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"))
-
-    body = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int"), F.length("text"))))
-    joined = docs.join(hits, docs["doc_id"] == hits["_path"], "left")
-    return joined.select(*[F.when(F.col("spans").isNull(), F.col(c)).otherwise(body).alias(c) if c == "text" else F.col(c) for c in docs.columns])
+        clear = F.substring(text, acc["at"].cast("int"), (s["start"] + 1 - acc["at"]).cast("int"))
+        out = F.when(s["start"] + 1 >= acc["at"], F.concat(acc["out"], clear, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), out.alias("out"))
+
+    body = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int"), F.length(text))))
+    hits = _hits(ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    joined = docs.withColumn("_blob", F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)).join(hits, "_blob", "left")
+    found = F.col("_spans").isNotNull()
+    own = {"text": F.when(found, body).otherwise(text)}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(found, F.length(body).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return joined.select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns])
