@@ -14,9 +14,11 @@ the same place, and only windows around suffixes that begin alike can be equal.
    ends are compared across the boundaries.
 2. Around each suffix that has an equal, the windows are taken in blocks of
    ``BLOCK`` whose common core is hashed (128 bits) and whose differing bytes are
-   kept; blocks of equal cores meet, and each window is compared with its equals
-   by those bytes. A core with more than ``HOT`` blocks is compared window by
-   window in an aggregation with partial sums instead.
+   kept; blocks of equal cores meet, and each window is compared with its equals by
+   those bytes. Blocks that are equal as a whole repeat each other in all their
+   windows; of a common core only one of each kind waits for the others. A core
+   with more than ``HOT`` different blocks is compared window by window in an
+   aggregation with partial sums instead.
 3. Each text drops the bytes that its repeated windows cover.
 
 Strings are judged on the input, not on what is left; none crosses a document.
@@ -46,7 +48,8 @@ BLOCK = 64
 #: Documents from which the splitters are taken; suffixes read from them at most.
 SAMPLE = 1_000
 SAMPLED = 200_000
-#: Blocks of one core that are compared in a task.
+#: Blocks of one core that wait in a task before equal ones are merged; different ones that are compared there.
+MERGE = 20_000
 HOT = 100_000
 SIGN = U64(1 << 63)
 WORDS = ("k0", "k1", "k2", "k3")
@@ -260,8 +263,26 @@ def repeated_windows(blocks: DataFrame) -> DataFrame:
             flat = np.frombuffer(b"".join(t.column("near").to_pylist()), np.uint8).reshape(t.num_rows, -1)
             return flat, t.column("left").to_numpy(), t.column("right").to_numpy()
 
+        def merged(t: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
+            """Rows with an equal one, with the mask of all their windows; and one row of each kind."""
+            near, left, right = unpack(t)
+            odd = mix(np.arange(near.shape[1], dtype=U64) + U64(1)) | U64(1)
+            kind = np.zeros(len(near), U64)
+            for k in range(near.shape[1]):
+                kind += near[:, k].astype(U64) * odd[k]
+            kind = mix(kind ^ mix((left.astype(U64) << U64(32)) | right.astype(U64)))
+            _, first, at, n = np.unique(kind, return_index=True, return_inverse=True, return_counts=True)
+            more = n[at] > 1
+            low, high = BLOCK - 1 - right, left
+            mask = np.zeros(len(kind), U64)
+            for s in range(BLOCK):
+                mask |= ((low <= s) & (s <= high)).astype(U64) << U64(s)
+            good = more & (mask != 0)
+            out = pa.RecordBatch.from_arrays([pa.array(t.column("row").to_numpy()[good]), pa.array(t.column("core").to_numpy()[good]), pa.array(mask[good].view(np.int64)), pa.nulls(int(good.sum()), pa.int64())], names=names)
+            return out, t.take(pa.array(first))
+
         waiting: list[pa.RecordBatch] = []
-        hot = None
+        hot, kinds = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -280,11 +301,16 @@ def repeated_windows(blocks: DataFrame) -> DataFrame:
                 n = int(last[-1]) + 1
                 waiting[-1] = batch.slice(0, n)
                 yield from resolved(pa.Table.from_batches(waiting))
-                waiting = [batch.slice(n)]
+                waiting, kinds = [batch.slice(n)], 0
             elif len(waiting) > 1 and (waiting[0].column(0)[0].as_py(), waiting[0].column(1)[0].as_py()) != (int(h1[0]), int(h2[0])):
                 yield from resolved(pa.Table.from_batches(waiting[:-1]))
-                waiting = [batch]
-            if sum(b.num_rows for b in waiting) > HOT:
+                waiting, kinds = [batch], 0
+            if sum(b.num_rows for b in waiting) > MERGE + kinds:
+                done, rest = merged(pa.Table.from_batches(waiting))
+                yield done
+                waiting, kinds = rest.combine_chunks().to_batches(), rest.num_rows
+            if kinds > HOT:
+                kinds = 0
                 hot = int(h1[-1]), int(h2[-1])
                 yield from exploded(pa.Table.from_batches(waiting))
                 waiting = []
