@@ -1,0 +1,89 @@
+"""Relational operators on alignments, as SQL that Catalyst plans and other engines can check.
+
+Each text reads one or more of the relations of ``RELATIONS``; those are texts
+themselves, over ``cells`` (large alignments) or ``small`` (alignments whose
+sequences are compared in pairs). Values are in the units of the folding model;
+sums that feed thresholds are integers.
+"""
+
+from __future__ import annotations
+
+# fixed values: pair codes CG 1, GC 2, GU 3, UG 4, AU 5, UA 6, gap-gap 7, other 0
+PAIR = "CASE WHEN {a} = 1 AND {b} = 2 THEN 1 WHEN {a} = 2 AND {b} = 1 THEN 2 WHEN {a} = 2 AND {b} = 3 THEN 3 WHEN {a} = 3 AND {b} = 2 THEN 4 WHEN {a} = 0 AND {b} = 3 THEN 5 WHEN {a} = 3 AND {b} = 0 THEN 6 WHEN {a} = 5 AND {b} = 5 THEN 7 ELSE 0 END"
+_TYPE = PAIR.replace("{a}", "a.code").replace("{b}", "b.code")
+_F = ", ".join(f"CAST(sum(CASE WHEN t = {k} THEN 1 ELSE 0 END) AS BIGINT) AS f{k}" for k in range(8))
+#: Columns in which two pair types differ: the covariation that a mutation from one to the other shows.
+_BASES = {1: "CG", 2: "GC", 3: "GU", 4: "UG", 5: "AU", 6: "UA"}
+_COVARIATION = " + ".join(f"{sum(x != y for x, y in zip(_BASES[k], _BASES[m], strict=True))} * f{k} * f{m}" for k in _BASES for m in _BASES if k < m)
+
+RELATIONS = {
+    "occupancy": "SELECT fam, col, CAST(sum(CASE WHEN code <> 5 THEN 1 ELSE 0 END) AS BIGINT) AS bases, count(*) AS n FROM {cells} GROUP BY fam, col",
+    "smart_gap": "SELECT fam, col, sum(1.0e0 * bases / n) OVER (PARTITION BY fam ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM {occupancy}",
+    "histogram": f"SELECT fam, i, j, count(*) AS n, {_F} FROM (SELECT a.fam AS fam, a.col AS i, b.col AS j, {_TYPE} AS t FROM {{cells}} a JOIN {{cells}} b ON a.fam = b.fam AND a.seq = b.seq WHERE a.col < b.col) GROUP BY fam, i, j",
+    "gated": "SELECT * FROM {histogram} WHERE 2 * f0 + f7 <= n",
+    "pscore": f"SELECT fam, i, j, round(1.2e0 * (100.0e0 * ({_COVARIATION}) / (n * n) - 0.1e0 * 100.0e0 * (f0 + 0.25e0 * f7)) / n, 6) AS pscore FROM {{gated}}",
+    "pairable": "SELECT fam, i, j, pscore FROM {pscore} WHERE pscore >= -40",
+    "weights": "SELECT fam, i, j, f1 + f2 + f3 + f4 + f5 + f6 AS w, n FROM {gated}",
+    "possible": "SELECT fam, i, j, f1 + f2 + f3 + f4 + f5 + f6 AS w FROM {histogram} WHERE f1 + f2 + f3 + f4 + f5 + f6 > 0",
+    "ends": "SELECT fam, i AS pos, w FROM {weights} UNION ALL SELECT fam, j AS pos, w FROM {weights}",
+    "load": "SELECT fam, pos, CAST(sum(w) AS BIGINT) AS w FROM {ends} GROUP BY fam, pos",
+    "bpp": "SELECT p.fam AS fam, p.i AS i, p.j AS j, 1.0e0 * p.w / (CASE WHEN a.w > b.w THEN a.w ELSE b.w END + p.n) AS prob FROM {weights} p JOIN {load} a ON p.fam = a.fam AND p.i = a.pos JOIN {load} b ON p.fam = b.fam AND p.j = b.pos",
+    "both_ends": "SELECT fam, i AS pos, j AS other, prob FROM {bpp} UNION ALL SELECT fam, j AS pos, i AS other, prob FROM {bpp}",
+    "best": "SELECT fam, pos, other, prob FROM (SELECT fam, pos, other, prob, row_number() OVER (PARTITION BY fam, pos ORDER BY round(prob, 9) DESC, other) AS k FROM {both_ends} WHERE prob >= 0.02e0) WHERE k = 1",
+    "mutual": "SELECT a.fam AS fam, a.pos AS i, a.other AS j, a.prob AS prob FROM {best} a JOIN {best} b ON a.fam = b.fam AND a.other = b.pos AND b.other = a.pos WHERE a.pos < a.other",
+    "columns": "SELECT DISTINCT fam, col FROM {occupancy}",
+    "consensus": "SELECT fam, col, code FROM (SELECT fam, col, code, row_number() OVER (PARTITION BY fam, col ORDER BY n DESC, code) AS k FROM (SELECT fam, col, code, count(*) AS n FROM {cells} GROUP BY fam, col, code)) WHERE k = 1",
+    "signs": "SELECT fam, seq, col, CASE WHEN col < 16 THEN CASE WHEN code < 3 THEN 1 ELSE 0 END ELSE 0 END AS opens FROM {cells}",
+    "brackets": "SELECT a.fam AS fam, a.seq AS seq, a.col AS col, CASE WHEN a.col < 16 THEN a.opens ELSE -b.opens END AS sign FROM {signs} a JOIN {signs} b ON a.fam = b.fam AND a.seq = b.seq AND b.col = 31 - a.col",
+    "depths": "SELECT fam, seq, col, sign, sum(sign) OVER (PARTITION BY fam, seq ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CASE WHEN sign > 0 THEN 1 ELSE 0 END AS depth FROM {brackets} WHERE sign <> 0",
+    "matched": "SELECT fam, seq, col AS i, closer AS j FROM (SELECT fam, seq, col, sign, lead(col) OVER (PARTITION BY fam, seq, depth ORDER BY col) AS closer FROM {depths}) WHERE sign > 0 AND closer IS NOT NULL",
+    "gold": "SELECT a.fam AS fam, a.col AS i, b.col AS j FROM {consensus} a JOIN {consensus} b ON a.fam = b.fam AND b.col = 31 - a.col WHERE a.col < b.col - 3 AND a.code + b.code = 3",
+}
+
+OPERATORS = {
+    "msa_cells": "SELECT fam, seq, col, code FROM {cells}",
+    "a2s_map": "SELECT fam, seq, col, CAST(sum(CASE WHEN code <> 5 THEN 1 ELSE 0 END) OVER (PARTITION BY fam, seq ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS INT) AS pos FROM {cells}",
+    "neighbour_s5": "SELECT fam, seq, col, CAST(coalesce(max(CASE WHEN code <> 5 THEN col * 8 + code END) OVER (PARTITION BY fam, seq ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) % 8, 4) AS INT) AS s5 FROM {cells}",
+    "neighbour_s3": "SELECT fam, seq, col, CAST(coalesce(min(CASE WHEN code <> 5 THEN col * 8 + code END) OVER (PARTITION BY fam, seq ORDER BY col ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) % 8, 4) AS INT) AS s3 FROM {cells}",
+    "column_occupancy": "SELECT fam, col, round(1.0e0 * bases / n, 6) AS occupancy FROM {occupancy}",
+    "smart_gap": "SELECT fam, col, round(upto, 5) AS upto FROM {smart_gap}",
+    "energy_codes": "SELECT fam, seq, col, CAST(CASE WHEN code >= 4 THEN 0 ELSE code + 1 END AS INT) AS base FROM {cells}",
+    "row_identity": "SELECT fam, a_seq, b_seq, CAST(sum(CASE WHEN ca <> cb THEN 1 ELSE 0 END) AS BIGINT) AS hamming, round(coalesce(100.0e0 * sum(CASE WHEN ca = cb AND ca <> 5 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN ca = 5 AND cb = 5 THEN 0 ELSE 1 END), 0), 0.0e0), 6) AS identity FROM (SELECT a.fam AS fam, a.seq AS a_seq, b.seq AS b_seq, a.code AS ca, b.code AS cb FROM {small} a JOIN {small} b ON a.fam = b.fam AND a.col = b.col WHERE a.seq < b.seq) GROUP BY fam, a_seq, b_seq",
+    "pair_histogram": "SELECT fam, i, j, n, f0, f1, f2, f3, f4, f5, f6, f7 FROM {histogram}",
+    "pair_gate": "SELECT fam, i, j FROM {gated}",
+    "pscore_pairs": "SELECT fam, i, j, pscore FROM {pairable}",
+    "next_pairable": "SELECT fam, i, j, coalesce(lead(j) OVER (PARTITION BY fam, i ORDER BY j), -1) AS nxt FROM {pairable}",
+    "prev_pairable": "SELECT fam, i, j, coalesce(lag(j) OVER (PARTITION BY fam, i ORDER BY j), -1) AS prv FROM {pairable}",
+    "hairpin_candidates": "SELECT p.fam AS fam, p.i AS i, p.j AS j FROM {pairable} p JOIN {smart_gap} a ON p.fam = a.fam AND p.i = a.col JOIN {smart_gap} b ON p.fam = b.fam AND p.j = b.col WHERE p.j >= p.i + 4 AND round(b.upto - a.upto, 6) >= 2.0e0",
+    "range_pairs_30": "SELECT x.fam AS fam, x.i AS i, x.j AS j, y.i AS p, y.j AS q FROM {pairable} x JOIN {pairable} y ON x.fam = y.fam AND y.i < x.i AND x.j < y.j WHERE (x.i - y.i - 1) + (y.j - x.j - 1) <= 30",
+    "m_p_composition": "SELECT a.fam AS fam, a.i AS i, b.j AS j, max(a.w + b.w) AS best, count(*) AS ways FROM {possible} a JOIN {possible} b ON a.fam = b.fam AND a.j + 1 = b.i GROUP BY a.fam, a.i, b.j",
+    "beam_topk": "SELECT fam, i, j, pscore FROM (SELECT fam, i, j, pscore, rank() OVER (PARTITION BY fam, j ORDER BY pscore DESC) AS k FROM {pairable}) WHERE k <= 6",
+    "sorted_m": "SELECT fam, i, j, CAST(row_number() OVER (PARTITION BY fam, j ORDER BY pscore DESC, i DESC) AS INT) AS place FROM {pairable}",
+    "viterbi_argmax": "SELECT fam, j, i, pscore FROM (SELECT fam, i, j, pscore, row_number() OVER (PARTITION BY fam, j ORDER BY pscore DESC, i) AS k FROM {pairable}) WHERE k = 1",
+    "logsumexp_by_group": "SELECT fam, j, round(m + ln(s), 6) AS lse FROM (SELECT p.fam AS fam, p.j AS j, x.m AS m, sum(exp(p.pscore - x.m)) AS s FROM {pairable} p JOIN (SELECT fam, j, max(pscore) AS m FROM {pairable} GROUP BY fam, j) x ON p.fam = x.fam AND p.j = x.j GROUP BY p.fam, p.j, x.m)",
+    "fast_log_exp": "SELECT fam, i, j, round(ln(1 + exp(pscore)), 6) AS logexp, round(CASE WHEN pscore < -9.91152e0 THEN 0 ELSE exp(pscore) END, 6) AS fastexp FROM {pairable}",
+    "dotbracket_pairs": "SELECT fam, seq, i, j FROM {matched}",
+    "bracket_depth": "SELECT fam, seq, col, CAST(depth AS INT) AS depth FROM {depths}",
+    "project_structure": "SELECT m.fam AS fam, m.seq AS seq, m.i AS i, m.j AS j FROM {matched} m JOIN {cells} a ON m.fam = a.fam AND m.seq = a.seq AND m.i = a.col JOIN {cells} b ON m.fam = b.fam AND m.seq = b.seq AND m.j = b.col WHERE " + PAIR.replace("{a}", "a.code").replace("{b}", "b.code") + " BETWEEN 1 AND 6",
+    "pseudo_bpp": "SELECT fam, i, j, round(prob, 6) AS prob FROM {bpp}",
+    "bpp_filter": "SELECT fam, i + 1 AS i, j + 1 AS j, round(prob, 6) AS prob FROM {bpp} WHERE prob >= 0.02e0 AND j >= i + 4",
+    "bpp_mass": "SELECT fam, round(sum(prob), 5) AS mass, count(*) AS pairs FROM {bpp} WHERE j >= i + 4 GROUP BY fam",
+    "unpaired_prob": "SELECT c.fam AS fam, c.col AS col, round(1 - coalesce(u.p, 0), 6) AS unpaired FROM {columns} c LEFT JOIN (SELECT fam, pos, sum(prob) AS p FROM {both_ends} GROUP BY fam, pos) u ON c.fam = u.fam AND c.col = u.pos",
+    "bpp_rmsd": "SELECT a_fam, b_fam, round(sqrt(avg(d * d)), 6) AS rmsd, round(avg(abs(d)), 6) AS mean_dev, round(max(abs(d)), 6) AS max_dev, round(min(abs(d)), 6) AS min_dev, count(*) AS pairs_union, CAST(sum(shared) AS BIGINT) AS pairs_shared FROM (SELECT coalesce(x.fam, y.fam - 1) AS a_fam, coalesce(y.fam, x.fam + 1) AS b_fam, coalesce(x.prob, 0) - coalesce(y.prob, 0) AS d, CASE WHEN x.fam IS NULL OR y.fam IS NULL THEN 0 ELSE 1 END AS shared FROM {bpp} x FULL OUTER JOIN {bpp} y ON x.fam + 1 = y.fam AND x.i = y.i AND x.j = y.j) GROUP BY a_fam, b_fam",
+    "mutual_best_pairs": "SELECT fam, i, j, round(prob, 6) AS prob FROM {mutual}",
+    "pseudoknot_layers": "SELECT a.fam AS fam, a.i AS i, a.j AS j, CAST(sum(CASE WHEN b.i < a.i AND a.i < b.j AND b.j < a.j THEN 1 ELSE 0 END) AS BIGINT) AS crossed FROM {mutual} a JOIN {mutual} b ON a.fam = b.fam GROUP BY a.fam, a.i, a.j",
+    "consensus_bases": "SELECT fam, col, code FROM {consensus}",
+    "gold_pairs": "SELECT fam, i, j FROM {gold}",
+    "eval_prf_sd": "SELECT fam, hit, predicted, gold, round(hit / (predicted + 1e-10), 6) AS prec, round(hit / (gold + 1e-10), 6) AS sens, round(CASE WHEN hit = 0 THEN 0 ELSE 2.0e0 * hit / (predicted + gold) END, 6) AS f1, 32 - 2 * hit - shared_open AS sd FROM (SELECT c.fam AS fam, CAST(count(DISTINCT CASE WHEN g.i IS NOT NULL AND m.i IS NOT NULL THEN g.i END) AS INT) AS hit, CAST(count(DISTINCT CASE WHEN m.i = c.col THEN m.i END) AS INT) AS predicted, CAST(count(DISTINCT CASE WHEN g.i = c.col THEN g.i END) AS INT) AS gold, CAST(sum(CASE WHEN pu.pos IS NULL AND gu.pos IS NULL THEN 1 ELSE 0 END) AS INT) AS shared_open FROM {columns} c LEFT JOIN {gold} g ON g.fam = c.fam AND g.i = c.col LEFT JOIN {mutual} m ON m.fam = c.fam AND m.i = c.col AND (g.j IS NULL OR m.j = g.j) LEFT JOIN (SELECT fam, i AS pos FROM {mutual} UNION SELECT fam, j FROM {mutual}) pu ON pu.fam = c.fam AND pu.pos = c.col LEFT JOIN (SELECT fam, i AS pos FROM {gold} UNION SELECT fam, j FROM {gold}) gu ON gu.fam = c.fam AND gu.pos = c.col GROUP BY c.fam)",
+    "ensemble_defect": "SELECT c.fam AS fam, round(32 - 2 * coalesce(max(p.s), 0) - sum(CASE WHEN gu.pos IS NULL THEN 1 - coalesce(u.p, 0) ELSE 0 END), 4) AS defect FROM {columns} c LEFT JOIN (SELECT g.fam AS fam, sum(b.prob) AS s FROM {gold} g JOIN {bpp} b ON g.fam = b.fam AND g.i = b.i AND g.j = b.j GROUP BY g.fam) p ON p.fam = c.fam LEFT JOIN (SELECT fam, pos, sum(prob) AS p FROM {both_ends} GROUP BY fam, pos) u ON u.fam = c.fam AND u.pos = c.col LEFT JOIN (SELECT fam, i AS pos FROM {gold} UNION SELECT fam, j FROM {gold}) gu ON gu.fam = c.fam AND gu.pos = c.col GROUP BY c.fam",
+    "slip_edges": "SELECT m.fam AS fam, m.i AS i, m.j AS j, g.i AS gi, g.j AS gj FROM {mutual} m JOIN {gold} g ON m.fam = g.fam AND ((m.i = g.i AND g.j BETWEEN m.j - 1 AND m.j + 1) OR (m.j = g.j AND g.i BETWEEN m.i - 1 AND m.i + 1))",
+    "family_rollup": "SELECT CAST(kind AS INT) AS kind, round(avg(p), 6) AS mean_prob, round(min(p), 6) AS min_prob, round(max(p), 6) AS max_prob FROM (SELECT fam % 4 AS kind, fam, avg(prob) AS p FROM {bpp} GROUP BY fam) GROUP BY kind",
+    "set_union_pairs": "SELECT fam, i, j FROM {mutual} UNION SELECT fam, i, j FROM {gold}",
+    "set_intersect_pairs": "SELECT fam, i, j FROM {mutual} INTERSECT SELECT fam, i, j FROM {gold}",
+    "set_except_pairs": "SELECT fam, i, j FROM {mutual} EXCEPT SELECT fam, i, j FROM {gold}",
+    "empirical_bpp": "SELECT p.fam AS fam, i, j, round(1.0e0 * p.n / t.n, 6) AS prob FROM (SELECT fam, i, j, count(*) AS n FROM {matched} GROUP BY fam, i, j) p JOIN (SELECT fam, count(DISTINCT seq) AS n FROM {cells} GROUP BY fam) t ON p.fam = t.fam",
+    "covariation_energy": "SELECT m.fam AS fam, round(sum(-p.pscore) / 100, 6) AS energy, count(*) AS pairs FROM {mutual} m JOIN {pscore} p ON m.fam = p.fam AND m.i = p.i AND m.j = p.j GROUP BY m.fam",
+    "identity_minmax": "SELECT fam, round(min(identity), 4) AS lo, round(max(identity), 4) AS hi, round(avg(identity), 4) AS mean FROM (SELECT fam, a_seq, b_seq, 100.0e0 * sum(same) / count(*) AS identity FROM (SELECT a.fam AS fam, a.seq AS a_seq, b.seq AS b_seq, CASE WHEN a.code = b.code THEN 1 ELSE 0 END AS same FROM {small} a JOIN {small} b ON a.fam = b.fam AND a.col = b.col WHERE a.seq < b.seq) GROUP BY fam, a_seq, b_seq) GROUP BY fam",
+    "ungapped_length": "SELECT fam, round(avg(n), 6) AS mean_length FROM (SELECT fam, seq, sum(CASE WHEN code <> 5 THEN 1 ELSE 0 END) AS n FROM {cells} GROUP BY fam, seq) GROUP BY fam",
+}
+

@@ -1,4 +1,43 @@
 """All queries of the library over the driver's tables, and their SQL twins."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from stemloom.operators.relations import OPERATORS, RELATIONS
+from stemloom.sources.alignments import CELLS_SQL, document_cells, nation_cells
+
+_NAME = re.compile(r"\{(\w+)\}")
+_INPUTS = {"cells": document_cells, "small": nation_cells}
+
+
+def _steps(text: str) -> list[str]:
+    """The relations that a text needs, each after those it needs itself."""
+    out: list[str] = []
+    for name in _NAME.findall(text):
+        if name in RELATIONS:
+            out += [x for x in _steps(RELATIONS[name]) if x not in out]
+        if name not in out:
+            out.append(name)
+    return out
+
+
+def _with(text: str, skip: tuple[str, ...]) -> str:
+    parts = [f"{n} AS ({RELATIONS.get(n) or CELLS_SQL[n]})" for n in _steps(text) if n not in skip]
+    sql = (f"WITH {', '.join(parts)} " if parts else "") + text
+    return sql if skip else _NAME.sub(r"\1", sql)
+
+
+def _query(text: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        inputs = {k: f(spark, sf_dir) for k, f in _INPUTS.items() if k in _steps(text)}
+        sql = _NAME.sub(lambda m: m[0] if m[1] in inputs else m[1], _with(text, tuple(_INPUTS)))
+        return spark.sql(sql, **inputs)
+
+    return run
+
+
+QUERIES = {name: _query(text) for name, text in OPERATORS.items()}
+SQL: dict[str, str] = {name: _with(text, ()) for name, text in OPERATORS.items()}
