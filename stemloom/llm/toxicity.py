@@ -78,16 +78,22 @@ def screened(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, least: in
 
     Words are an open vocabulary; without the screen the many terms of a few texts each would drown the rest.
     """
-    b, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(float)
-    pos = np.repeat(y == 1, [len(r[0]) for r in rows])
     n1, n0 = (y == 1).sum(), (y != 1).sum()
+    df, total, square = np.zeros(BUCKETS), np.zeros((2, 2, BUCKETS)), np.zeros((2, BUCKETS))
+    for lo in range(0, len(rows), 200):  # a few texts' terms at a time
+        part = rows[lo : lo + 200]
+        b, x = np.concatenate([r[0] for r in part]), np.concatenate([r[1] for r in part]).astype(float)
+        pos = np.repeat(y[lo : lo + 200] == 1, [len(r[0]) for r in part])
+        df += np.bincount(b, minlength=BUCKETS)
+        for k, value in enumerate((np.ones(len(x)), x)):
+            square[k] += np.bincount(b, value**2, minlength=BUCKETS)
+            for side, own in enumerate((~pos, pos)):
+                total[k, side] += np.bincount(b[own], value[own], minlength=BUCKETS)
     known = np.zeros(BUCKETS, bool)
-    df = np.bincount(b, minlength=BUCKETS)
-    for value in (np.ones(len(x)), x):
-        s1, s0 = np.bincount(b[pos], value[pos], minlength=BUCKETS), np.bincount(b[~pos], value[~pos], minlength=BUCKETS)
-        sq = np.bincount(b, value**2, minlength=BUCKETS) / len(y)
+    for k in range(2):
+        s0, s1 = total[k]
         mean = (s1 + s0) / len(y)
-        error = np.sqrt(np.maximum(sq - mean**2, 1e-12) * (1 / n1 + 1 / n0))
+        error = np.sqrt(np.maximum(square[k] / len(y) - mean**2, 1e-12) * (1 / n1 + 1 / n0))
         known |= (np.abs(s1 / n1 - s0 / n0) > z * error) & (df >= least)
     return known
 
@@ -105,6 +111,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 12, rate: float = 0.
     for c in chunks(whole):
         r, b, x = terms(c.data, c.offsets)
         cut = np.searchsorted(r, np.arange(c.hi - c.lo + 1))
+        b = b.astype(np.int32)
         rows += [(b[cut[i] : cut[i + 1]], x[cut[i] : cut[i + 1]]) for i in range(c.hi - c.lo)]
     known = screened(rows, y)
     m.factors[~known] = 0
@@ -152,7 +159,7 @@ def calibrated(m: Machine, texts: list[str], labels: np.ndarray) -> Machine:
     return m._replace(slope=float(a), shift=float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 12_000) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8_000) -> Machine:
     """Fits on at most ``sample`` labelled rows, the ones of least hash, a fifth of them for the calibration."""
     ids = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     ids = ids.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "y").limit(sample)
