@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stemloom.llm import decontamination, html_crf, language, minhash, packing, quality_rules, registry, secrets, suffix_dedup, toxicity
+from stemloom.llm import decontamination, html_crf, language, minhash, packing, quality_rules, registry, secrets, suffix_dedup, toxicity, weak_labels
 
 DIR = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -38,13 +38,14 @@ def applied(spark, docs):
     yield "decontamination", decontamination.decontaminate(docs, bench)
     yield "clean", decontamination.clean(docs, bench)
     yield "language", language.identify(docs, language.train(docs, F.lit(True)))
+    yield "weak", weak_labels.score(docs, weak_labels.train(docs))
     yield "suffix", suffix_dedup.remove_repeats(docs)
 
 
 def test_odd_inputs(spark):
     docs = odd(spark)
     out = {k: df.collect() for k, df in applied(spark, docs)}
-    for k in ("toxicity", "minhash", "ledger", "redacted", "quality", "decontamination", "language", "suffix"):
+    for k in ("toxicity", "minhash", "ledger", "redacted", "quality", "decontamination", "language", "weak", "suffix"):
         assert len(out[k]) == 12, k
     groups = {r.doc_id: r.component_id for r in out["minhash"]}
     assert groups[5] == groups[6] == 5 and groups[9] == groups[10] == 9 and groups[0] == 0 and groups[1] == 1
@@ -52,6 +53,7 @@ def test_odd_inputs(spark):
     hits = {r.doc_id: (r.n_hit, r.n_items) for r in out["decontamination"]}
     assert hits[9] == (10, 1) and hits[3] == (2, 2) and hits[0] == hits[1] == (0, 0)
     assert {r.lang_pred for r in out["language"] if r.doc_id in (0, 1, 8)} == {"und"}
+    assert {r.doc_id for r in out["weak"] if r.score == 0 and not r.kept} >= {0, 1, 8}
     gone = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in out["suffix"]}
     assert gone[5][1] == gone[5][0] and gone[5][2] == 1 and gone[0] == gone[1] == (0, 0, 0)
     assert [r.text for r in out["redacted"] if r.doc_id == 7] == ["[assign]'"]
@@ -179,6 +181,30 @@ def test_held_out_accuracy(spark):
     assert sum(caught) / len(caught) > 0.6 and sum(p for y, p in scored if not y) <= 2
 
 
+def test_quality_without_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    found = [(quality[r.doc_id], r.score, r.kept) for r in registry.QUERIES["op5_quality_classifier"](spark, sf).collect() if r.doc_id in quality]
+    good, bad = [s for q, s, _ in found if q], [s for q, s, _ in found if not q]
+    assert sum(a > b for a in good for b in bad) / (len(good) * len(bad)) > 0.97
+    assert sum(k for q, _, k in found if q) / len(good) > 0.98 and sum(k for q, _, k in found if not q) / len(bad) < 0.4
+
+
+def test_labellers_accuracies_are_recovered():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, k = 40_000, len(weak_labels.LABELLERS)
+    good = rng.random(n) < 0.7
+    right = np.where(good[:, None], 0.95, 0.7) > rng.random((n, k))
+    vote = np.where(rng.random((n, k)) < 0.1, 0, np.where(right == good[:, None], 2, 1))
+    pattern, at, times = np.unique(weak_labels.patterns(vote), return_inverse=True, return_counts=True)
+    assert (weak_labels.unpacked(weak_labels.patterns(vote)) == vote).all()
+    p, (on_bad, on_good) = weak_labels.posteriors(pattern, times)
+    assert np.abs(on_bad - 0.7).max() < 0.03 and np.abs(on_good - 0.95).max() < 0.03
+    assert ((p[at] > 0.5) == good).mean() > 0.97
+
+
 def test_html(spark):
     pages = spark.read.parquet(f"{DIR}/pages.parquet")
     model = html_crf.train(pages)
