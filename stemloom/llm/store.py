@@ -6,8 +6,11 @@ It is read from the session and set here only where it is unset, as in tests.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     if not ctx.getCheckpointDir():
         ctx.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, so that training leaves the driver as small as it was; where the C library can't, nothing happens."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemloom.llm.arrowtext import ALNUM, LOWER, RollingHash, chunks, mix, runs
+from stemloom.llm.store import give_back
 
 U64 = np.uint64
 BUCKETS = 1 << 18
@@ -73,17 +74,22 @@ def margins(row: np.ndarray, bucket: np.ndarray, x: np.ndarray, n: int, m: Machi
     return out
 
 
-def screened(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, least: int = 4, z: float = 4.0) -> np.ndarray:
+def sampled(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, end, row, bucket, weight) of a bounded slice of the texts after another."""
+    for c in chunks(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.large_string())})):
+        yield c.lo, c.hi, *terms(c.data, c.offsets)
+
+
+def screened(texts: list[str], y: np.ndarray, least: int = 4, z: float = 4.0) -> np.ndarray:
     """Buckets whose share of texts, or whose mean weight, differs between the labels by z standard errors.
 
     Words are an open vocabulary; without the screen the many terms of a few texts each would drown the rest.
     """
     n1, n0 = (y == 1).sum(), (y != 1).sum()
     df, total, square = np.zeros(BUCKETS), np.zeros((2, 2, BUCKETS)), np.zeros((2, BUCKETS))
-    for lo in range(0, len(rows), 200):  # a few texts' terms at a time
-        part = rows[lo : lo + 200]
-        b, x = np.concatenate([r[0] for r in part]), np.concatenate([r[1] for r in part]).astype(float)
-        pos = np.repeat(y[lo : lo + 200] == 1, [len(r[0]) for r in part])
+    for lo, hi, row, b, x in sampled(texts):
+        x = x.astype(float)
+        pos = (y[lo:hi] == 1)[row]
         df += np.bincount(b, minlength=BUCKETS)
         for k, value in enumerate((np.ones(len(x)), x)):
             square[k] += np.bincount(b, value**2, minlength=BUCKETS)
@@ -106,16 +112,14 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 12, rate: float = 0.
     m = Machine(bias, np.zeros(BUCKETS, np.float32), (rng.standard_normal((BUCKETS, FACTORS)) * 0.01).astype(np.float32), 1.0, 0.0)
     if len(set(y.tolist())) < 2:
         return m._replace(factors=np.zeros_like(m.factors))
-    rows = []
-    whole = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.large_string())})
-    for c in chunks(whole):
-        r, b, x = terms(c.data, c.offsets)
-        cut = np.searchsorted(r, np.arange(c.hi - c.lo + 1))
-        b = b.astype(np.int32)
-        rows += [(b[cut[i] : cut[i + 1]], x[cut[i] : cut[i + 1]]) for i in range(c.hi - c.lo)]
-    known = screened(rows, y)
+    known = screened(texts, y)
     m.factors[~known] = 0
-    rows = [(b[known[b]], x[known[b]]) for b, x in rows]
+    rows = []
+    for lo, hi, r, b, x in sampled(texts):  # a second time, so that only screened terms are ever held
+        use = known[b]
+        r, b, x = r[use], b[use].astype(np.int32), x[use]
+        cut = np.searchsorted(r, np.arange(hi - lo + 1))
+        rows += [(b[cut[i] : cut[i + 1]].copy(), x[cut[i] : cut[i + 1]].copy()) for i in range(hi - lo)]
     w, v, w0, g0 = m.linear, m.factors, bias, 1.0
     gw, gv = np.full(BUCKETS, 1.0, np.float32), np.full(v.shape, 1.0, np.float32)
     weight = np.where(y == 1, 0.5 / mean, 0.5 / (1 - mean)) ** 0.5
@@ -168,7 +172,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     texts, y = [t or "" for t in rows["text"]], rows["y"].to_numpy(float)
     held = np.arange(len(y)) % 5 == 4
     m = fit([t for t, k in zip(texts, held, strict=True) if not k], y[~held])
-    return calibrated(m, [t for t, k in zip(texts, held, strict=True) if k], y[held])
+    m = calibrated(m, [t for t, k in zip(texts, held, strict=True) if k], y[held])
+    del rows, texts
+    give_back()
+    return m
 
 
 def score(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
