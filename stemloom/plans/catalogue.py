@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stemloom.plans import folding
 from stemloom.operators.relations import OPERATORS, RELATIONS
 from stemloom.sources.alignments import CELLS_SQL, document_cells, nation_cells
 
@@ -39,5 +40,5 @@ def _query(text: str):
     return run
 
 
-QUERIES = {name: _query(text) for name, text in OPERATORS.items()}
+QUERIES = {name: _query(text) for name, text in OPERATORS.items()} | folding.QUERIES
 SQL: dict[str, str] = {name: _with(text, ()) for name, text in OPERATORS.items()}

@@ -41,6 +41,12 @@ def cells_of(msa: DataFrame) -> DataFrame:
     return spread.select("fam", "seq", "col", F.when(F.col("c") == "-", 5).when(at > 0, at - 1).otherwise(4).alias("code"))
 
 
+def rows_of(cells: DataFrame) -> DataFrame:
+    """(msa, seq, text) of (fam, seq, col, code)."""
+    letter = F.substring(F.lit("ACGUN-"), F.col("code") + 1, F.lit(1))
+    return cells.groupBy("fam", "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", letter.alias("c")))), lambda x: x.c), "").alias("text")).select(F.col("fam").alias("msa"), "seq", "text")
+
+
 def derived(rows: DataFrame) -> DataFrame:
     """Alignments from (fam, seq, text): a hairpin ancestor of the family, varied by the digest of each whole text."""
     digits = rows.select("fam", "seq", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("col"))
