@@ -22,12 +22,18 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read from there, without their lineage.
 
     A lost executor takes nothing with it: the files stay, and each later task reads them anew.
+    The shuffle files of the lineage are of no use then; they go as soon as the driver has
+    collected its garbage, which is asked for here, as a driver with little to do may not for long.
     """
     spark = df.sparkSession
     ctx = spark.sparkContext
     if not ctx.getCheckpointDir():
         ctx.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    ctx._jvm.System.gc()
+    return kept
 
 
 def give_back() -> None:
