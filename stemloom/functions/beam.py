@@ -25,7 +25,7 @@ KT = 61.63207755
 SPAN = 30
 HAIRPIN_COLUMNS = 4
 #: Loops scored at once, times rows.
-CELLS = 1 << 20
+CELLS = 1 << 16
 FLOOR = -20.0
 SUPPORT = -9.91152
 
