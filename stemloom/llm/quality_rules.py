@@ -9,8 +9,8 @@ ratio lies beyond its group's outlier fence; the fence is joined back to the
 documents by group.
 
 Defined results: a null or empty text has no words, fails the base rule and is
-dropped; null ``lang`` or ``source`` form groups of their own; a group with
-fewer than ``min_group`` documents with words takes the fence of all documents;
+dropped; null ``lang`` or ``source`` form groups of their own; a group's fence
+is drawn to that of all documents with the weight of ``min_group`` documents;
 an empty table gives no rows; repeated rows are judged alike, each with its own
 row; columns of other names are ignored, whatever they are called.
 """
@@ -124,28 +124,52 @@ def quantiles(sketches: DataFrame, groups: list[str], points: dict[str, float])
     return run.groupBy(*groups, "metric").agg(F.max("total").alias("total"), *[F.min(F.when(F.col("upto") >= F.ceil(q * F.col("total")), edge)).alias(k) for k, q in points.items()])
 
 
-def filter_quality(docs: DataFrame, min_group: int = 200, reach: float = 8.0, slack: float = 0.5, shift: float = 150.0) -> DataFrame:
+def fences(sketches: DataFrame, groups: list[str], reach: float, slack: float, shift: float) -> DataFrame:
+    """total, high and low of each group and metric.
+
+    The spread is the smaller half of the quartiles' range, so up to half of a group may lie far off on one side.
+    """
+    q = quantiles(sketches, groups, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    spread = F.least(F.col("q75") - F.col("q50"), F.col("q50") - F.col("q25"))
+    up, down = F.col("q50") + spread, F.col("q50") - spread
+    return q.select(*groups, "metric", "total", (up + reach * spread + slack * up + shift).alias("high"), (down - reach * spread - slack * down - shift).alias("low"))
+
+
+def limits(per_group: DataFrame, min_group: int, reach: float, slack: float, shift: float, noise: float) -> DataFrame:
+    """g_lang, g_source and the fences of each metric, one row per group.
+
+    The level of word length is a group's own. The other ratios are mostly 0, so their fence comes from the
+    non-zero ones; they are bad in any group, so it is at most the fence of all documents. Both are means of
+    the group's and the whole's, weighted by the group's count and ``min_group``.
+    """
+    groups, rates = ["lang", "source"], [m for m in METRICS if m != "word_length"]
+    everything = per_group.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
+    some = F.col("metric").isin(rates) & (F.col("bucket") > 0)
+    used = lambda s: s.where(some | (F.col("metric") == "word_length"))
+    add = F.when(F.col("metric") == "word_length", F.lit(shift)).otherwise(F.lit(noise))
+    own, whole = (fences(used(s), g, reach, slack, add) for s, g in ((per_group, groups), (everything, [])))
+    bound = fences(everything.where(F.col("metric").isin(rates)), [], reach, slack, F.lit(shift)).select("metric", F.col("high").alias("most"))
+    whole = whole.join(bound, "metric", "left").select("metric", F.least("high", "most").alias("all_high"), F.col("low").alias("all_low"), "most")  # a row per metric
+    drawn = lambda c: (F.coalesce("total", F.lit(0)) * F.coalesce(c, f"all_{c}") + min_group * F.col(f"all_{c}")) / (F.coalesce("total", F.lit(0)) + min_group)
+    every = per_group.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).distinct().join(F.broadcast(whole), F.lit(True))
+    mine = own.select(F.col("lang").alias("o_lang"), F.col("source").alias("o_source"), F.col("metric").alias("o_metric"), "total", "high", "low")
+    both = every.join(mine, F.col("g_lang").eqNullSafe(F.col("o_lang")) & F.col("g_source").eqNullSafe(F.col("o_source")) & (F.col("metric") == F.col("o_metric")), "left")
+    both = both.withColumn("high", F.least("high", "most")).withColumns({"high": drawn("high"), "low": drawn("low")})
+    return both.groupBy("g_lang", "g_source").agg(*[F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}") for m in METRICS for side in ("high", "low")])
+
+
+def filter_quality(docs: DataFrame, min_group: int = 200, reach: float = 8.0, slack: float = 0.5, shift: float = 150.0, noise: float = 50.0) -> DataFrame:
     """Counts, the base rule and the adaptive verdict for each document.
 
-    The fence of a metric in a group is ``q75 + reach * (q75 - q50) + slack * q75 + shift`` (thousandths),
-    all from the group's sketch; word length also has a lower fence, mirrored about the median.
+    A fence is ``q + reach * spread + slack * q + shift`` (thousandths), with ``q`` the spread above the median;
+    word length also has a lower one, mirrored about the median. What fails the base rule sets no fence. Fences of non-zero ratios have ``noise`` for ``shift``.
     """
     measured = cut(text_counts(docs)).withColumns(_metrics())  # a few numbers a document; the texts are read once
-    points = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    per_group = sketch(measured, "lang", "source")
-    fence = lambda q: q.withColumn("high", F.col("q75") + reach * (F.col("q75") - F.col("q50")) + slack * F.col("q75") + shift).withColumn("low", F.col("q25") - reach * (F.col("q50") - F.col("q25")) - slack * F.col("q25") - shift)
-    wide = lambda q, groups: q.groupBy(*groups).agg(F.max("total").alias("total"), *[F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}") for m in METRICS for side in ("high", "low")])
-    own = wide(fence(quantiles(per_group, ["lang", "source"], points)), ["lang", "source"]).where(F.col("total") >= min_group).drop("total")
-    everything = per_group.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
-    whole = wide(fence(quantiles(everything, [], points)), []).drop("total")
-    names = [f"{m}_{side}" for m in METRICS for side in ("high", "low")]
-    whole = whole.select(*[F.col(c).alias(f"all_{c}") for c in names])
-    g = own.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *names)
-    joined = measured.join(g, measured.lang.eqNullSafe(g.g_lang) & measured.source.eqNullSafe(g.g_source), "left").join(F.broadcast(whole), F.lit(True), "left")  # one row
-    limit = lambda c: F.coalesce(F.col(c), F.col(f"all_{c}"))
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    g = limits(cut(sketch(measured.where(~base), "lang", "source")), min_group, reach, slack, shift, noise)  # a few hundred rows a group
+    joined = measured.join(g, measured.lang.eqNullSafe(g.g_lang) & measured.source.eqNullSafe(g.g_source), "left")
     outlier = F.lit(False)
     for m in METRICS:
-        outlier |= F.coalesce(F.col(m) > limit(f"{m}_high"), F.lit(False))
-    outlier |= F.coalesce(F.col("word_length") < limit("word_length_low"), F.lit(False))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+        outlier |= F.coalesce(F.col(m) > F.col(f"{m}_high"), F.lit(False))
+    outlier |= F.coalesce(F.col("word_length") < F.col("word_length_low"), F.lit(False))
     return joined.select("doc_id", *COUNTS[:5], base.alias("base_failed"), (~base & ~outlier).alias("kept"))

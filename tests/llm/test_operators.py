@@ -170,6 +170,26 @@ def test_quality_counts_against_brute_force(spark):
         assert r.n_symbols == len(re.findall(r"[#*$%&|<>]", texts[r.doc_id]))
 
 
+def test_fences_move_and_hold(spark):
+    groups = {"dirty": [(0, 70), (1000, 30)], "worse": [(0, 40), (1000, 60)], "small": [(3, 30), (0, 970)], "large": [(100, 30), (0, 970)]}
+    rows = [(source, 0, 0, x, 0, 5000) for source, parts in groups.items() for x, n in parts for _ in range(10 * n if source in ("small", "large") else n)]
+    rows += [("few", 0, 0, 1000, 0, 5000)] * 3 + [("none", 0, 0, 0, 0, 5000)] * 100
+    measured = spark.createDataFrame(rows, "source string, a long, dup_line_ratio long, repeat_ratio long, symbol_ratio long, word_length long").withColumns({"lang": F.lit("en"), "n_words": F.lit(100)})
+    high = {r.g_source: r.repeat_ratio_high for r in quality_rules.limits(quality_rules.sketch(measured, "lang", "source"), 200, 8.0, 0.5, 150.0, 50.0).collect()}
+    assert max(high.values()) < 160
+    assert high["small"] + 20 < high["large"] and high["few"] == pytest.approx(high["none"], abs=5)
+    counted = {n: quality_rules.limits(quality_rules.sketch(measured.where("source = 'large'").unionByName(measured.where("source = 'small' and repeat_ratio = 3").limit(n)), "lang", "source"), 200, 8.0, 0.5, 150.0, 50.0).where("g_source = 'small'").first().repeat_ratio_high for n in (150, 199, 200, 250)}
+    assert counted[150] > counted[199] > counted[200] > counted[250] and counted[199] - counted[200] < 1
+
+
+def test_junk_of_a_dirty_source_goes(spark):
+    clean = " ".join(f"w{i}" for i in range(100))
+    docs = [(i, clean.replace("w", f"v{i}w"), "en", "s") for i in range(210)] + [(i, clean.replace("w", f"v{i}w") + " #" * 30, "en", "s") for i in range(210, 300)]
+    docs += [(i, clean.replace("w", f"v{i}w"), "en", "t") for i in range(300, 700)]
+    out = {r.doc_id: r.kept for r in quality_rules.filter_quality(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(out[i] for i in range(210)) and not any(out[i] for i in range(210, 300)) and all(out[i] for i in range(300, 700))
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
