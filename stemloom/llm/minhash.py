@@ -24,9 +24,13 @@ grows with the square of that family, as proof that no link is lost.
 
 Defined results: null and empty texts, and texts without words, have no
 shingles and stay alone; fewer words than a shingle make one shingle of them
-all; ties go to the least doc_id; repeated rows are copies; repeated doc_ids
-are taken by their texts and give a row each; an empty table gives no rows;
-further columns are ignored.
+all; rows are told apart by a hash of doc_id and text, so a group keeps one: of
+the least doc_id that isn't null, and of the least hash where that is not one
+text; repeated rows are copies, all of which ``kept`` marks alike; a row of null
+doc_id counts like any other, links its near copies, is kept where its group has
+no doc_id, and has that group's null as component_id; repeated doc_ids are taken
+by their texts and give a row each; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,6 +127,11 @@ def sketches(h: np.ndarray, r: np.ndarray, n: int, rows_each: int) -> dict[str,
     return {"size": size, "keys": keys, "packed": packed, "d1": digest[0], "d2": digest[1]}
 
 
+def row_key() -> Column:
+    """A row's own key, which is never null."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def signatures(docs: DataFrame, words_each: int, threshold: float) -> DataFrame:
     rows_each = band_rows(threshold)
 
@@ -132,9 +141,9 @@ def signatures(docs: DataFrame, words_each: int, threshold: float) -> DataFrame:
                 n = c.hi - c.lo
                 s = sketches(*shingles(c.data, c.offsets, words_each), n, rows_each)
                 lists = {k: pa.FixedSizeListArray.from_arrays(pa.array(s[k].ravel().view(np.int64)), s[k].shape[1]).cast(pa.list_(pa.int64())) for k in ("keys", "packed")}
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(c.lo, n), "n_shingles": pa.array(s["size"], pa.int64()), "d1": pa.array(s["d1"].view(np.int64)), "d2": pa.array(s["d2"].view(np.int64))} | lists)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(c.lo, n), "row": batch.column(2).slice(c.lo, n), "n_shingles": pa.array(s["size"], pa.int64()), "d1": pa.array(s["d1"].view(np.int64)), "d2": pa.array(s["d2"].view(np.int64))} | lists)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, packed array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key()).mapInArrow(run, "doc_id long, row long, n_shingles long, d1 long, d2 long, keys array<long>, packed array<long>")
 
 
 def alike(a: str, b: str, threshold: float) -> Column:
@@ -177,10 +186,10 @@ def confirm(docs: DataFrame, pairs: DataFrame, words_each: int, percent: int) ->
 
 
 def preselected(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of documents among which are all of ``ids``; the table that selects them has at most SLOTS rows."""
+    """(id, text), by row keys, of documents among which are all of ``ids``; the table that selects them has at most SLOTS rows."""
     slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
     slots = ids.select(slot.alias("slot")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
+    texts = docs.select(row_key().alias("id"), F.col("text").cast("string"))
     return texts.join(F.broadcast(slots), slot == F.col("slot"), "left_semi").dropDuplicates(["id"])
 
 
@@ -250,12 +259,14 @@ def compare_families(docs: DataFrame, members: DataFrame, words_each: int, perce
     return dealt.groupBy("hub", "i", "j").applyInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) and kept for each document."""
+def grouped(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
+    """doc_id, row (its key), n_shingles, component_id and kept for each document."""
     threshold = percent / 100
     signed = cut(signatures(docs, words_each, threshold))
     some = signed.where("n_shingles > 0")
-    reps = cut(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("keys", "packed"), "doc_id").alias("s")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    reps = some.groupBy("d1", "d2").agg(F.min(order).alias("head"), F.min_by(F.struct("keys", "packed"), order).alias("s"))
+    reps = cut(reps.withColumn("rep", F.col("head.row")))
     bands = reps.select("rep", F.explode("s.keys").alias("key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("n > 1")
     shared = cut(bands.join(buckets, "key").select("key", "rep", "lo", "hi"))
@@ -276,13 +287,25 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) ->
     more = cut(confirm(docs, cut(rest), words_each, percent).unionByName(compare_families(docs, large, words_each, percent)))
     links = components(first.unionByName(more)) if more.take(1) else first
 
-    rep_of = reps.select("d1", "d2", "rep").join(links.select(F.col("u").alias("rep"), F.col("v").alias("c")), "rep", "left").select("d1", "d2", F.coalesce("c", "rep").alias("c"))
-    known = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "d1", "d2").join(rep_of, ["d1", "d2"]).select("doc_id", "n_shingles", F.col("c").alias("component_id"))
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return known.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    headed = reps.select("d1", "d2", "rep", "head").join(links.select(F.col("u").alias("rep"), F.col("v").alias("c")), "rep", "left").select("d1", "d2", "head", F.coalesce("c", "rep").alias("c"))
+    least = headed.groupBy("c").agg(F.min("head").alias("least"))
+    rep_of = headed.select("d1", "d2", "c").join(least, "c").select("d1", "d2", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("first"))
+    known = some.select("doc_id", "row", "n_shingles", "d1", "d2").join(rep_of, ["d1", "d2"]).select("doc_id", "row", "n_shingles", "component_id", (F.col("row") == F.col("first")).alias("kept"))
+    alone = signed.where("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return known.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links) and kept for each document."""
+    return grouped(docs, words_each, percent).drop("row")
 
 
 def one_of_each(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with all their columns, of least doc_id in their group; rows repeated with their doc_id stay once."""
-    kept = near_duplicates(docs, words_each, percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """The documents, with all their columns, that are first in their group; rows repeated with their doc_id stay once.
+
+    Rows without doc_id and words have nothing by which they could be copies: all of them stay.
+    """
+    kept = grouped(docs, words_each, percent).where("kept").select(F.col("row").alias("__kept_row")).distinct()
+    some = F.col("doc_id").isNotNull() | F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    first = docs.where(some).join(kept, row_key() == F.col("__kept_row"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return first.unionByName(docs.where(~some)).select(*docs.columns)

@@ -119,6 +119,17 @@ def test_families_against_brute_force(spark):
     assert [found[i] for i in range(60)] == label
 
 
+def test_null_doc_ids_stay(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1) + " end"), (7, text(2)), (None, text(2) + " end"), (9, text(3) + " a"), (None, text(3)), (8, text(3) + " b"), (None, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, row string")
+    out = [(r.doc_id, r.text) for r in minhash.one_of_each(docs).collect()]
+    assert sum(x == (None, text(0)) for x in out) == 1 and sum(i is None and (t or "").startswith("w1x0") for i, t in out) == 1
+    assert sorted(i for i, _ in out if i) == [7, 8] and sum(not t for _, t in out) == 3 and len(out) == 7
+    found = minhash.near_duplicates(docs).collect()
+    assert len(found) == 11 and all(r.kept is not None for r in found) and sorted(r.component_id or 0 for r in found) == [0] * 6 + [7] * 2 + [8] * 3
+
+
 def test_packing_round_trip(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     whole = Tokenizer.from_file(TOKENIZER)
