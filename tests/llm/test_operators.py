@@ -245,6 +245,18 @@ def test_html(spark):
     assert html_crf.extract(pages, model).count() == pages.count()
 
 
+@pytest.mark.parametrize(
+    "inner",
+    ['<svg-icon name="x"></svg-icon>', '<svg class="i"/>', "<svg/>", "<title-bar></title-bar>", "<svg><g><path d='a'/><text>no</text></g></svg>", "<svg><title/><path d=x/></svg>", "<svg><path>", "<svg><foreignObject><p>no</p></foreignObject></svg>"]
+    + ["<option>no", "<datalist><option>no<option>no</datalist>", "<select><optgroup><option>no</option><option>no</select>", "<select><option>no", "<script>if (a<b) '<p>no</p>'</script >", "<style-guide></style-guide>"],
+)
+def test_text_after_skipped_elements_stays(inner):
+    from stemloom.llm.html_blocks import blocks
+
+    assert [b.text for b in blocks(f"<article><p>One.</p>{inner}<p>Two.</p></article><p>Three.</p>")] == ["One.", "Two.", "Three."]
+    assert [b.text for b in blocks("<p>a <svg><path/>no</svg>b <select><option>no</select>c</p>")] == ["a b c"]
+
+
 def test_viterbi_and_marginals_against_enumeration():
     import itertools
 
