@@ -212,6 +212,31 @@ def test_held_out_accuracy(spark):
     assert sum(caught) / len(caught) > 0.6 and sum(p for y, p in scored if not y) <= 2
 
 
+def test_terms_toxic_only_together():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+
+    def text(label):
+        words = [f"w{k}" for k in rng.integers(0, 3000, 30)]
+        if label:
+            words += ["badg", "them"] if rng.random() < 0.24 else []
+        else:
+            words += [["badg"], ["them"], [], [], []][rng.integers(0, 5)]
+        return " ".join(words)
+
+    y = (rng.random(6400) < 0.1).astype(float)
+    texts = [text(k) for k in y]
+    m = toxicity.fit(texts, y)
+    filler = " ".join(f"w{k}" for k in range(30))
+
+    def margin(extra):
+        data = np.frombuffer(f"{filler} {extra}".encode(), np.uint8)
+        return toxicity.margins(*toxicity.terms(data, np.array([0, len(data)])), 1, m)[0]
+
+    assert min(margin("badg them") - margin(x) for x in ("badg", "them", "")) > 2
+
+
 def test_quality_without_labels(spark):
     sf = "/root/testdata/sf0.01"
     quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
