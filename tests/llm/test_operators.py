@@ -130,6 +130,15 @@ def test_null_doc_ids_stay(spark):
     assert len(found) == 11 and all(r.kept is not None for r in found) and sorted(r.component_id or 0 for r in found) == [0] * 6 + [7] * 2 + [8] * 3
 
 
+def test_repeated_doc_ids_by_their_texts(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(5, text(k)) for k in range(12)] + [(20 + k, text(k) + " end") for k in range(12)] + [(3, text(2) + " x"), (5, text(0) + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.component_id for r in minhash.near_duplicates(docs).collect()) == [3] * 3 + [5] * 23
+    out = [(r.doc_id, r.text.split("x")[0]) for r in minhash.one_of_each(docs).collect()]
+    assert sorted(out) == sorted([(3, "w2")] + [(5, f"w{k}") for k in range(12) if k != 2])
+
+
 def test_packing_round_trip(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     whole = Tokenizer.from_file(TOKENIZER)
