@@ -9,7 +9,7 @@ def op3_packing(spark, sf_dir, tokenizer=None):
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return pack(table(spark, sf_dir, "documents"), tokenizer, with_ids=False).drop("loss_tokens")
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, with_ids=False).drop("loss_tokens")
 
 
 QUERIES = {"op3_packing": op3_packing}

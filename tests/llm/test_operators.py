@@ -157,6 +157,13 @@ def test_packing_round_trip(spark):
         assert at == 2048 or at & (at - 1) == 0
 
 
+def test_packing_ignores_a_prompt_column(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two", "ask")], "doc_id long, text string, prompt string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    (row,) = registry.QUERIES["op3_packing"](spark, str(tmp_path), TOKENIZER).groupBy("doc_id").agg(F.max("doc_tokens").alias("n")).collect()
+    assert row.n == len(Tokenizer.from_file(TOKENIZER).encode("one two", add_special_tokens=False).ids) + 1
+
+
 def test_packing_limits(spark):
     docs = spark.createDataFrame([(i, "word " * (i % 9 + 1), "ask " * (i % 5)) for i in range(200)], "doc_id long, text string, prompt string")
     bins = {}
