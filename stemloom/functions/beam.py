@@ -8,7 +8,9 @@ is cut, and what follows from the states that stay is sent ahead, all states
 of a column and all rows of the alignment in arrays.
 
 The edges of the states that stay are kept; tracing back, sampling and outside
-sums read them only. In sums, edges below ``FLOOR`` of their state are dropped.
+sums read them only. A state's value is the sum of all its edges; with ``floor``,
+those below it (a logarithm of their share of the state) are not kept and the
+others stand for them, so no mass is lost on the way back. ``None`` keeps all.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ SPAN = 30
 HAIRPIN_COLUMNS = 4
 #: Loops scored at once, times rows.
 CELLS = 1 << 16
-FLOOR = -20.0
 SUPPORT = -9.91152
 
 
@@ -45,13 +46,14 @@ class Batch(NamedTuple):
 
 
 class Sweep:
-    def __init__(self, a: Alignment, pairs: Pairable, energies: Energies, beam: int = 100, summed: bool = False, by_columns: bool = False) -> None:
-        self.a, self.pairs, self.e, self.beam, self.summed = a, pairs, energies, beam, summed
+    def __init__(self, a: Alignment, pairs: Pairable, energies: Energies, beam: int = 100, summed: bool = False, by_columns: bool = False, floor: float | None = -20.0) -> None:
+        self.a, self.pairs, self.e, self.beam, self.summed, self.floor = a, pairs, energies, beam, summed, floor
         self.length = a.code.shape[1]
         self.unit = 1 / KT if summed else 1.0
         self.waiting: dict[tuple[str, int], list[tuple[np.ndarray, ...]]] = defaultdict(list)
         self.batches: list[Batch] = []
         self.states = 0
+        self.seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])  # of each chart: states reached, kept, edges kept
         self.prefix = np.zeros(self.length)  # values of the chart C
         self.closed = np.full(self.length, -1)  # its states
         # unpaired columns of a multiloop up to a column: bases of the rows, or columns where those stand for them
@@ -140,13 +142,16 @@ class Sweep:
             stay = rank >= np.partition(rank, len(rank) - self.beam - 1)[len(rank) - self.beam - 1]
         edges = np.repeat(stay, size)
         if self.summed:
-            edges &= score >= np.repeat(value, size) + FLOOR
+            if self.floor is not None:
+                edges &= score >= np.repeat(value, size) + self.floor
         else:
             best = np.zeros(len(i), bool)
             best[new] = True
             edges &= best
         at = np.repeat(np.cumsum(stay) - 1, size)[edges]
         heads, value = heads[stay], value[stay]
+        for n, more in enumerate((len(new), len(heads), int(edges.sum()))):
+            self.seen[chart][n] += more
         batch = Batch(chart, j, self.states, heads, value, np.searchsorted(at, np.arange(len(heads) + 1)), score[edges], left[edges], right[edges])
         if chart != "H" and len(heads):
             self.batches.append(batch)
@@ -259,19 +264,29 @@ class Sweep:
             todo += [int(x[at]) for x in (b.left, b.right) if x[at] >= 0]
         return sorted(found)
 
-    def probabilities(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(i, j, p) of all pairs with some support, by outside sums along the edges from the last to the first."""
+    def probabilities(self, lazy: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, p) of all pairs with some support, by outside sums along the edges from the last to the first.
+
+        With ``lazy``, states of little support are not visited and edges of little support not followed; a state's other
+        edges take their mass, or its best edge if there are no others.
+        """
         value = np.concatenate([b.value for b in self.batches]) if self.batches else np.zeros(0)
         outside = np.full(self.states, -np.inf)
         if self.length:
             outside[self.closed[-1]] = 0.0
         rows = []
         for b in reversed(self.batches):
-            own = outside[b.first : b.first + len(b.i)]
-            through = np.repeat(own, np.diff(b.offset)) + b.score
+            own, size = outside[b.first : b.first + len(b.i)], np.diff(b.offset)
+            use = np.repeat(np.isfinite(own), size)
+            if lazy:
+                use &= np.repeat(own + b.value - self.total > SUPPORT, size)
+                use &= (b.score > self.total + SUPPORT - np.repeat(own, size)) | (b.score == np.repeat(np.maximum.reduceat(b.score, b.offset[:-1]), size))
+            kept = np.where(use, np.exp(b.score - np.repeat(b.value, size)), 0.0)
+            share = np.add.reduceat(kept, b.offset[:-1])
+            through = np.repeat(own, size) + b.score - np.log(np.where(share > 0, share, 1)).repeat(size)
             for side in (b.left, b.right):
-                use = (side >= 0) & np.isfinite(through)
-                np.logaddexp.at(outside, side[use], through[use] - value[side[use]])
+                at = use & (side >= 0)
+                np.logaddexp.at(outside, side[at], through[at] - value[side[at]])
             if b.chart == "P":
                 log = b.value + own - self.total
                 use = log > SUPPORT

@@ -121,12 +121,23 @@ def mutual_best(i: np.ndarray, j: np.ndarray, p: np.ndarray, least: float = 0.3)
         if p[k] == best[x] == best[y] and not {x, y} & taken:
             pairs.append((x, y))
             taken |= {x, y}
+    return pairs, layers(pairs)
+
+
+def layers(pairs: list[tuple[int, int]], kinds: int = len(KINDS)) -> list[int]:
+    """The bracket kind of each pair, in order of i: pairs that an earlier one of a kind crosses go on to the next kind, up to the last."""
     kind = dict.fromkeys(pairs, 0)
     level = pairs
-    for n in range(1, len(KINDS)):
-        level = [b for m, b in enumerate(level) if any(a[0] < b[0] < a[1] < b[1] for a in level[:m])]
+    for n in range(1, kinds):
+        crossed, open_ends = [], []
+        for b in level:  # of earlier pairs, those that end after b begins can cross it
+            open_ends = [end for end in open_ends if end > b[0]]
+            if any(end < b[1] for end in open_ends):
+                crossed.append(b)
+            open_ends.append(b[1])
+        level = crossed
         kind |= dict.fromkeys(level, n)
-    return pairs, [kind[x] for x in pairs]
+    return [kind[x] for x in pairs]
 
 
 def projected(structure: str, row: str) -> str:
@@ -140,10 +151,10 @@ def projected(structure: str, row: str) -> str:
     return "".join(out[at] for at in keep)
 
 
-def matching(predicted: list[tuple[int, int]], gold: list[tuple[int, int]], slip: bool = True) -> int:
-    """How many predicted pairs can be matched to gold pairs of their own; with slip, one end may be off by one."""
+def matching(predicted: list[tuple[int, int]], gold: list[tuple[int, int]], slip: bool = True) -> dict[tuple[int, int], tuple[int, int]]:
+    """A greatest matching of predicted pairs to gold pairs of their own; with slip, one end may be off by one."""
     known = set(gold)
-    moves = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)] if slip else [(0, 0)]
+    moves = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)] if slip else [(0, 0)]
     near = {(i, j): [(i + a, j + b) for a, b in moves if (i + a, j + b) in known] for i, j in predicted}
     of_gold: dict[tuple[int, int], tuple[int, int]] = {}
     of_pair: dict[tuple[int, int], tuple[int, int]] = {}
@@ -164,15 +175,29 @@ def matching(predicted: list[tuple[int, int]], gold: list[tuple[int, int]], slip
             before = of_pair.get(pair)
             of_pair[pair], of_gold[end] = end, pair
             end = before
-    return len(of_gold)
+    return of_pair
+
+
+def scores(length: int, gold: tuple[list, list], predicted: tuple[list, list], slip: bool = False, hidden: set[int] | None = None) -> tuple[float, float, float, int]:
+    """Precision, sensitivity, F1 and distance of structures as (pairs, free columns).
+
+    The distance is the length less twice the hits and less the columns free in both. With slip, a hit stands where its gold
+    pair is, so a column is free there if it is in no hit's gold pair and in no predicted pair that is no hit; ``hidden``
+    columns are never free.
+    """
+    (a, free_a), (b, free_b) = gold, predicted
+    match = matching(b, a, slip)
+    hit = len(match)
+    if slip:
+        used = {x for pair in b for x in match.get(pair, pair)} | (hidden or set())
+        free_b = [k for k in range(length) if k not in used]
+    precision, sensitivity = hit / (len(b) + 1e-10), hit / (len(a) + 1e-10)
+    f1 = 2 * precision * sensitivity / (precision + sensitivity + 1e-10)
+    return precision, sensitivity, f1, length - 2 * hit - len(set(free_a) & set(free_b))
 
 
 def compared(gold: str, predicted: str, slip: bool = False) -> tuple[float, float, float, int]:
-    """Precision, sensitivity, F1 and structural distance of two structures of equal length."""
+    """``scores`` of two bracket strings of equal length; * in the predicted one is neither free nor paired."""
     if len(gold) != len(predicted):
         raise ValueError("the structures must have equal lengths")
-    (a, free_a), (b, free_b) = parsed(gold), parsed(predicted)
-    hit = matching(b, a, slip)
-    precision, sensitivity = hit / (len(b) + 1e-10), hit / (len(a) + 1e-10)
-    f1 = 2 * precision * sensitivity / (precision + sensitivity) if hit else 0.0
-    return precision, sensitivity, f1, len(gold) - 2 * len(set(a) & set(b)) - len(set(free_a) & set(free_b))
+    return scores(len(gold), parsed(gold), parsed(predicted), slip, {k for k, c in enumerate(predicted) if c == "*"})

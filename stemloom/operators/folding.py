@@ -26,9 +26,12 @@ from stemloom.functions.conservation import alignment, pairable, substitution
 from stemloom.functions.energies import Energies, builtin, from_par
 
 
+TASKS_PER_CORE = 4
+
+
 @dataclass(frozen=True)
 class Model:
-    """``parameters``: text of an energy file, the built-in set if None. ``tables``: substitution matrices by identity bins, see ``substitution_tables``."""
+    """``parameters``: text of an energy file, the built-in set if None. ``tables``: substitution matrices by identity bins, see ``substitution_tables``. ``lazy`` and ``floor``: see ``beam``. ``tasks``: how many the alignments are dealt over."""
 
     beam: int = 100
     cutoff: float = -40
@@ -37,6 +40,9 @@ class Model:
     gamma: float = 2
     threshold: float = 0.3
     by_columns: bool = False
+    lazy: bool = False
+    floor: float | None = -20.0
+    tasks: int | None = None
     parameters: str | None = None
     tables: dict[tuple[int, int], list[list[float]]] | None = None
 
@@ -56,15 +62,17 @@ def _swept(table: pa.Table, m: Model, energies: Energies, summed: bool) -> tuple
     rows = sorted(zip(table.column("text").to_pylist(), table.column("n").to_pylist(), strict=True))
     a = alignment([t for t, _ in rows], [n for _, n in rows])
     pairs = pairable(a, substitution(a, {k: np.array(v) for k, v in m.tables.items()} if m.tables else None), m.cutoff, m.beta, m.delta)
-    return Sweep(a, pairs, energies, m.beam, summed, m.by_columns), pairs
+    return Sweep(a, pairs, energies, m.beam, summed, m.by_columns, m.floor), pairs
 
 
 def _each(msa: DataFrame, m: Model, summed: bool, schema: str, rows: Callable[[object, Sweep, object], dict[str, list]]) -> DataFrame:
+    """Alignments are few rows of much work, so their number of tasks is set here: by their bytes they would all be put into one."""
+    spark = msa.sparkSession
     kind = msa.schema["msa"].dataType
     whole = f"msa {kind.simpleString()}, {schema}"
-    counted = msa.select("msa", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).groupBy("msa", "text").agg(F.count("*").alias("n"))
-    names = [x.split(" ")[0] for x in whole.split(", ")]
-    shape = msa.sparkSession.createDataFrame([], whole).schema
+    tasks = m.tasks or TASKS_PER_CORE * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    counted = msa.select("msa", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).groupBy("msa", "text").agg(F.count("*").alias("n")).repartition(tasks, "msa")
+    shape = spark.createDataFrame([], whole).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(shape)
@@ -74,7 +82,7 @@ def _each(msa: DataFrame, m: Model, summed: bool, schema: str, rows: Callable[[o
         sweep, pairs = _swept(table, m, m.energies(), summed)
         out = rows(key, sweep, pairs)
         n = len(next(iter(out.values())))
-        return pa.Table.from_pydict({"msa": [key] * n} | out).select(names).cast(arrow)
+        return pa.Table.from_pydict({"msa": [key] * n} | out, arrow)
 
     return counted.groupBy("msa").applyInArrow(run, whole)
 
@@ -91,50 +99,77 @@ def fold(msa: DataFrame, m: Model = Model()) -> DataFrame:
     return _each(msa, m, False, "structure string, mfe double, energy double, covariation double", rows)
 
 
-def pair_probabilities(msa: DataFrame, m: Model = Model()) -> DataFrame:
-    """(msa, i, j, prob) of pairs of columns, from 0."""
+def counters(msa: DataFrame, m: Model = Model(), summed: bool = True) -> DataFrame:
+    """(msa, chart, reached, kept, edges): states that a sweep reached and kept in each chart, and the edges kept with them."""
 
     def rows(key: object, s: Sweep, pairs) -> dict[str, list]:
-        i, j, p = s.probabilities()
-        return {"i": i.tolist(), "j": j.tolist(), "prob": p.tolist()}
+        names = sorted(s.seen)
+        return {"chart": names} | {c: [s.seen[x][n] for x in names] for n, c in enumerate(("reached", "kept", "edges"))}
 
-    return _each(msa, m, True, "i int, j int, prob double", rows)
+    return _each(msa, m, summed, "chart string, reached long, kept long, edges long", rows)
 
 
-def ensemble(msa: DataFrame, m: Model = Model()) -> DataFrame:
-    """Free energy of the ensemble and its structures: mutual-best pairs, centroid and greatest expected accuracy.
+ENSEMBLE = ("ensemble", "printed", "gamma", "pmcc", "threshknot", "centroid", "mea")
+
+
+def explored(msa: DataFrame, m: Model = Model(), structures: bool = True, probabilities: bool = True, count: int = 0, seed: int = 0) -> DataFrame:
+    """All that one sweep of an alignment tells: the columns of ``ensemble``, ``pairs`` of (i, j, prob) and ``samples``; what isn't asked for is null.
 
     ``printed`` is the energy as tools of this kind print it, per row and in units of kT. gamma <= 0 takes the gamma of best expected correlation (pmcc), else pmcc is null.
-    The last two structures use pairs with a probability over 1 / (gamma + 1); of all gammas tried, the least.
+    Centroid and mea use pairs with a probability over 1 / (gamma + 1); of all gammas tried, the least.
     """
 
     def rows(key: object, s: Sweep, pairs) -> dict[str, list]:
-        i, j, p = s.probabilities()
-        gamma, pmcc, least = m.gamma, None, m.gamma
-        if gamma > 0:
-            middle = st.centroid(s.length, i, j, p, gamma)
-        else:
-            gamma, pmcc, middle = st.best_gamma(s.length, i, j, p)
-            least = min(st.GAMMAS)
-        accurate = st.greatest_accuracy(s.length, i, j, p, gamma, 1 / (least + 1))
-        best, kinds = st.mutual_best(i, j, p, m.threshold)
-        draw = lambda ks: st.brackets(s.length, [(int(i[k]), int(j[k])) for k in ks])
-        return {"ensemble": [-s.total * KT / 100], "printed": [-s.total / 100 / s.a.total], "gamma": [float(gamma)], "pmcc": [pmcc], "threshknot": [st.brackets(s.length, best, kinds)], "centroid": [draw(middle)], "mea": [draw(accurate)]}
+        out: dict[str, list] = {"ensemble": [-s.total * KT / 100], "printed": [-s.total / 100 / s.a.total]} | {c: [None] for c in (*ENSEMBLE[2:], "pairs", "samples")}
+        if structures or probabilities:
+            i, j, p = s.probabilities(m.lazy)
+        if probabilities:
+            out["pairs"] = [[{"i": x, "j": y, "prob": z} for x, y, z in zip(i.tolist(), j.tolist(), p.tolist(), strict=True)]]
+        if structures:
+            gamma, pmcc, least = m.gamma, None, m.gamma
+            if gamma > 0:
+                middle = st.centroid(s.length, i, j, p, gamma)
+            else:
+                gamma, pmcc, middle = st.best_gamma(s.length, i, j, p)
+                least = min(st.GAMMAS)
+            accurate = st.greatest_accuracy(s.length, i, j, p, gamma, 1 / (least + 1))
+            best, kinds = st.mutual_best(i, j, p, m.threshold)
+            draw = lambda ks: st.brackets(s.length, [(int(i[k]), int(j[k])) for k in ks])
+            out |= {"gamma": [float(gamma)], "pmcc": [pmcc], "threshknot": [st.brackets(s.length, best, kinds)], "centroid": [draw(middle)], "mea": [draw(accurate)]}
+        if count:
+            texts = []
+            for k in range(count):
+                start = int.from_bytes(hashlib.blake2b(repr((seed, key, k)).encode(), digest_size=8).digest(), "little")
+                texts.append(st.brackets(s.length, s.structure(np.random.Generator(np.random.Philox(key=start)))))
+            out["samples"] = [texts]
+        return out
+
+    return _each(msa, m, True, "ensemble double, printed double, gamma double, pmcc double, threshknot string, centroid string, mea string, pairs array<struct<i: int, j: int, prob: double>>, samples array<string>", rows)
+
+
+def listed_pairs(found: DataFrame) -> DataFrame:
+    """(msa, i, j, prob) of the pairs of ``explored``."""
+    return found.select("msa", F.explode("pairs").alias("p")).select("msa", "p.*")
+
+
+def listed_samples(found: DataFrame) -> DataFrame:
+    """(msa, sample, structure) of the samples of ``explored``."""
+    return found.select("msa", F.posexplode("samples").alias("sample", "structure"))
+
 
-    return _each(msa, m, True, "ensemble double, printed double, gamma double, pmcc double, threshknot string, centroid string, mea string", rows)
+def pair_probabilities(msa: DataFrame, m: Model = Model()) -> DataFrame:
+    """(msa, i, j, prob) of pairs of columns, from 0."""
+    return listed_pairs(explored(msa, m, structures=False))
 
 
-def samples(msa: DataFrame, count: int, seed: int = 0, m: Model = Model()) -> DataFrame:
-    """(msa, sample, structure): ``count`` structures an alignment, drawn by their weight; the same seed gives the same ones anywhere."""
+def ensemble(msa: DataFrame, m: Model = Model()) -> DataFrame:
+    """Free energy of the ensemble and its structures: mutual-best pairs, centroid and greatest expected accuracy; see ``explored``."""
+    return explored(msa, m, probabilities=False).select("msa", *ENSEMBLE)
 
-    def rows(key: object, s: Sweep, pairs) -> dict[str, list]:
-        texts = []
-        for k in range(count):
-            start = int.from_bytes(hashlib.blake2b(repr((seed, key, k)).encode(), digest_size=8).digest(), "little")
-            texts.append(st.brackets(s.length, s.structure(np.random.Generator(np.random.Philox(key=start)))))
-        return {"sample": list(range(count)), "structure": texts}
 
-    return _each(msa, m, True, "sample int, structure string", rows)
+def samples(msa: DataFrame, count: int, seed: int = 0, m: Model = Model()) -> DataFrame:
+    """(msa, sample, structure): ``count`` structures an alignment, drawn by their weight; the same seed gives the same ones anywhere."""
+    return listed_samples(explored(msa, m, structures=False, probabilities=False, count=count, seed=seed))
 
 
 def evaluated(pairs: DataFrame, slip: bool = False) -> DataFrame:
@@ -164,4 +199,4 @@ def projections(msa: DataFrame, folded: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"msa {kinds['msa']}, seq {kinds['seq']}, structure string")
 
 
-__all__ = ["Model", "ensemble", "evaluated", "fold", "pair_probabilities", "projections", "samples", "substitution_tables"]
+__all__ = ["Model", "counters", "ensemble", "explored", "listed_pairs", "listed_samples", "evaluated", "fold", "pair_probabilities", "projections", "samples", "substitution_tables"]

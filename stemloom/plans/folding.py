@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemloom.operators.folding import Model, ensemble, evaluated, fold, pair_probabilities, projections, samples
-from stemloom.sources.alignments import document_cells, rows_of
+from stemloom.operators.folding import Model, counters, ensemble, evaluated, fold, pair_probabilities, projections, samples
+from stemloom.sources.alignments import document_msa
 from stemloom.sources.sinks import probability_lines, report
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows_of(document_cells(spark, sf_dir))
+    return document_msa(spark, sf_dir).withColumnRenamed("fam", "msa")
 
 
 def mfe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +63,12 @@ def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluated(fold(alignments(spark, sf_dir)).select("msa", gold.alias("gold"), F.col("structure").alias("predicted")), slip=True)
 
 
-QUERIES = {"fold_mfe": mfe, "fold_mfe_report": mfe_report, "fold_mfe_exact": mfe_exact, "fold_mfe_by_columns": mfe_by_columns, "fold_probabilities": probabilities, "fold_probability_file": probability_file, "fold_structures": structures, "fold_best_correlation": best_correlation, "fold_samples": sampled, "fold_on_rows": on_rows, "fold_agreement": agreement}
+def lazy_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_probabilities(alignments(spark, sf_dir), Model(lazy=True)).select("msa", "i", "j", F.round("prob", 6).alias("prob"))
+
+
+def sweep_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counters(alignments(spark, sf_dir), Model(beam=20))
+
+
+QUERIES = {"fold_lazy_probabilities": lazy_probabilities, "fold_counters": sweep_counters, "fold_mfe": mfe, "fold_mfe_report": mfe_report, "fold_mfe_exact": mfe_exact, "fold_mfe_by_columns": mfe_by_columns, "fold_probabilities": probabilities, "fold_probability_file": probability_file, "fold_structures": structures, "fold_best_correlation": best_correlation, "fold_samples": sampled, "fold_on_rows": on_rows, "fold_agreement": agreement}

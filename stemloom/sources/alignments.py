@@ -1,4 +1,4 @@
-"""Alignments as tables: readers for FASTA files, and alignments derived from other tables.
+"""Alignments as tables, and alignments derived from other tables; ``files`` reads them.
 
 ``cells`` is the long form of a set of alignments: (fam, seq, col, code), one row
 for each alignment, sequence and column, with nucleotide codes A 0, C 1, G 2,
@@ -11,22 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH = 32
-HEX = "0123456789abcdef"
-
-
-def read_msa(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(msa, seq, text) of alignment files, one sequence a line; headers (> or ;) and empty lines are left out."""
-    lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("msa"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
-    body = lines.where((F.length("text") > 0) & ~F.substring("text", 1, 1).isin(">", ";"))
-    from pyspark.sql import Window
-
-    return body.select("msa", (F.row_number().over(Window.partitionBy("msa").orderBy("line")) - 1).alias("seq"), normalised("text").alias("text"))
-
-
-def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(msa, seq, name, text) of FASTA files whose sequences may be wrapped."""
-    records = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("msa"), F.posexplode(F.split("value", r"(?m)^>")).alias("seq", "record")).where("seq > 0")
-    return records.select("msa", (F.col("seq") - 1).alias("seq"), F.trim(F.substring_index("record", "\n", 1)).alias("name"), F.upper(F.regexp_replace(F.regexp_replace("record", r"^[^\n]*\n?", ""), r"\s", "")).alias("text"))
 
 
 def normalised(text: str) -> Column:
@@ -34,11 +18,11 @@ def normalised(text: str) -> Column:
     return F.replace(F.upper(F.col(text)), F.lit("T"), F.lit("U"))
 
 
-def cells_of(msa: DataFrame) -> DataFrame:
-    """(fam, seq, col, code) of (msa, seq, text); rows of one alignment must have equal lengths."""
-    spread = msa.select(F.col("msa").alias("fam"), "seq", F.posexplode(F.split("text", "")).alias("col", "c")).where("c <> ''")
+def cells_of(msa: DataFrame, key: str = "msa") -> DataFrame:
+    """(fam, seq, col, code) of (msa, seq, text), where ``key`` names the alignment; rows of one alignment must have equal lengths."""
+    spread = msa.select(F.col(key).alias("fam"), "seq", F.posexplode(F.split("text", "")).alias("col", "c")).where("c <> ''")
     at = F.instr(F.lit("ACGU"), F.col("c"))
-    return spread.select("fam", "seq", "col", F.when(F.col("c") == "-", 5).when(at > 0, at - 1).otherwise(4).alias("code"))
+    return spread.select("fam", "seq", "col", F.when(F.col("c") == "-", 5).when(at > 0, at - 1).otherwise(4).cast("int").alias("code"))
 
 
 def rows_of(cells: DataFrame) -> DataFrame:
@@ -48,32 +32,28 @@ def rows_of(cells: DataFrame) -> DataFrame:
 
 
 def derived(rows: DataFrame) -> DataFrame:
-    """Alignments from (fam, seq, text): a hairpin ancestor of the family, varied by the digest of each whole text."""
-    digits = rows.select("fam", "seq", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("col"))
-    half = F.when(F.col("col") < WIDTH // 2, F.col("col")).otherwise(WIDTH - 1 - F.col("col"))
-    arm = (half * half + 3 * half + F.col("fam")) % 4
-    nib = F.instr(F.lit(HEX), F.substring(F.col("d"), F.col("col") + 1, F.lit(1))) - 1
-    arms = digits.select("fam", "seq", "col", nib.alias("nib"), F.when(F.col("col") < WIDTH // 2, arm).otherwise(3 - arm).alias("anc"))
-    code = F.when(F.col("nib") == 13, 5).when(F.col("nib") == 12, (F.col("anc") + 1) % 4).otherwise(F.col("anc"))
-    return arms.select("fam", "seq", "col", code.cast("int").alias("code"))
-
-
-def document_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One alignment a source, one sequence a document."""
+    """(fam, seq, text), alignments from rows of the same names: a hairpin ancestor of the family, varied by the digest of each whole text."""
+    half = [min(c, WIDTH - 1 - c) for c in range(WIDTH)]
+    ancestor = F.lit("")
+    for k in range(4):
+        arms = [(h * h + 3 * h + k) % 4 for h in half]
+        ancestor = F.when(F.pmod("fam", F.lit(4)) == k, "".join("ACGU"[a if c < WIDTH // 2 else 3 - a] for c, a in enumerate(arms))).otherwise(ancestor)
+    digits = F.split(F.md5(F.coalesce("text", F.lit("")).cast("binary")), "")
+    varied = F.zip_with(digits, F.split(ancestor, ""), lambda d, a: F.when(d == "d", "-").when(d == "c", F.translate(a, "ACGU", "CGUA")).otherwise(a))
+    return rows.select("fam", "seq", F.array_join(varied, "").alias("text"))
+
+
+def document_msa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fam, seq, text): one alignment a source, one sequence a document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return derived(docs.select(F.regexp_extract("source", r"(\d+)", 1).cast("int").alias("fam"), F.col("doc_id").alias("seq"), "text"))
 
 
-def nation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nation_msa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One alignment a region, one sequence a nation: small alignments, for operators on pairs of sequences."""
     rows = spark.read.parquet(f"{sf_dir}/nation.parquet")
     return derived(rows.select(F.col("n_regionkey").alias("fam"), F.col("n_nationkey").cast("long").alias("seq"), F.col("n_name").alias("text")))
 
 
-_DERIVED = """SELECT fam, seq, col, CAST(CASE WHEN nib = 13 THEN 5 WHEN nib = 12 THEN (anc + 1) % 4 ELSE anc END AS INT) AS code FROM (
-  SELECT fam, seq, col, instr('0123456789abcdef', substr(d, col + 1, 1)) - 1 AS nib, CASE WHEN col < 16 THEN (col * col + 3 * col + fam) % 4 ELSE 3 - ((31 - col) * (31 - col) + 3 * (31 - col) + fam) % 4 END AS anc
-  FROM (SELECT fam, seq, md5(coalesce(t, '')) AS d, CAST(unnest(range(0, 32)) AS INT) AS col FROM (ROWS)))"""
-CELLS_SQL = {
-    "cells": _DERIVED.replace("ROWS", "SELECT CAST(regexp_extract(source, '(\\d+)', 1) AS INT) AS fam, doc_id AS seq, text AS t FROM documents"),
-    "small": _DERIVED.replace("ROWS", "SELECT n_regionkey AS fam, CAST(n_nationkey AS BIGINT) AS seq, n_name AS t FROM nation"),
-}
+def document_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells_of(document_msa(spark, sf_dir), "fam")

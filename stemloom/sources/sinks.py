@@ -24,10 +24,12 @@ def report(folded: DataFrame) -> Column:
 
 
 def write_structures(found: DataFrame, column: str, path: str, header: str | None = None, mode: str = "overwrite") -> None:
-    """One structure an alignment, under a header line if there is one; ``{gamma}`` in it is replaced by the row's."""
+    """One structure an alignment, under a header line if there is one; ``{gamma}`` and ``{pmcc}`` in it are replaced by the row's."""
     text = F.col(column)
     if header is not None:
         title = F.replace(F.lit(header), F.lit("{gamma}"), F.format_string("%.2f", F.col("gamma"))) if "{gamma}" in header else F.lit(header)
+        if "{pmcc}" in header:
+            title = F.replace(title, F.lit("{pmcc}"), F.when(F.col("pmcc").isNull(), "").otherwise(F.format_string("(pmcc = %.4f) ", F.col("pmcc"))))
         text = F.concat(title, F.lit("\n"), text)
     found.select("msa", text.alias("value")).write.mode(mode).partitionBy("msa").text(path)
 

@@ -138,7 +138,10 @@ def test_structures():
     assert st.parsed("((..((...)).))") == ([(5, 9), (4, 10), (1, 12), (0, 13)], [2, 3, 6, 7, 8, 11])
     assert st.projected("(((...)))", "GG-AAACUC") == "((....))"
     assert st.projected("(((...)))", "GGAAAACUC") == "((.....))"
-    assert st.matching([(0, 9), (1, 8)], [(0, 8), (1, 9)]) == 2 and st.matching([(0, 9)], [(1, 8)]) == 0
+    assert len(st.matching([(0, 9), (1, 8)], [(0, 8), (1, 9)])) == 2 and not st.matching([(0, 9)], [(1, 8)])
+    # ends off by one: the hit stands at the gold pair, so all columns agree; without slip four of nine don't
+    assert st.compared("(.......).", ".(......).", slip=True)[3] == 0 and st.compared("(.......).", ".(......).")[3] == 3
+    assert st.compared("((.....)).", "(.(....)).", slip=True)[3] == 0
     rng = np.random.default_rng(5)
     for _ in range(30):
         pairs = sorted({tuple(sorted(rng.choice(12, 2, replace=False).tolist())) for _ in range(8)})

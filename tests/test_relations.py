@@ -4,7 +4,8 @@ import duckdb
 import pytest
 
 from stemloom.plans import catalogue
-from stemloom.sources.alignments import cells_of, read_fasta, read_msa
+from stemloom.sources.alignments import cells_of
+from stemloom.sources.files import read_fasta, read_msa
 
 DIR = "/root/testdata/sf0.001"
 
@@ -17,7 +18,7 @@ def rows(names, values):
 @pytest.fixture(scope="module")
 def oracle():
     con = duckdb.connect()
-    for t in ("documents", "nation"):
+    for t in ("documents", "nation", "region"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     return con
 
