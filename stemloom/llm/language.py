@@ -21,10 +21,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemloom.llm.arrowtext import LOWER, Chunk, byte_table, chunks
+from stemloom.llm.store import LONGEST, fitted
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
@@ -121,13 +122,29 @@ def fit(texts: list[str], names: list[str], epochs: int = 8, rate: float = 2.0,
     return Model(languages, table, bias.astype(float), t, float(max(wrong, default=0.0)))
 
 
-def train(docs: DataFrame, wanted, per_language: int = 600) -> Model:
-    """Fits on at most ``per_language`` texts of each language among the rows ``wanted``, the ones of least hash."""
-    ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & wanted).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("y"), F.xxhash64("doc_id").alias("h"))
-    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id"))).where(F.col("k") <= per_language)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id").where("lang = y").select("h", "y", "text").toPandas()  # at most per_language a language
-    rows = rows.sort_values(["h", "y", "text"], kind="stable")
-    return fit([t or "" for t in rows["text"]], list(rows["y"]))
+def train(docs: DataFrame, wanted, per_language: int = 600, languages: int = 1_000, longest: int = LONGEST) -> Model:
+    """Fits on about ``per_language`` texts of each language among the rows ``wanted``, of at most ``longest`` bytes.
+
+    The commonest ``languages`` are learnt. A language's rows are counted, and those whose hash lies below the share that is
+    wanted are taken, so that no task ranks a language's rows; the least hashes of these are used, ``per_language`` at most.
+    """
+    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & wanted).select(F.col("lang").cast("string").alias("y"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    own = own.where(F.octet_length("text") <= longest)
+    sizes = own.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(languages)
+    place = F.shiftrightunsigned("h", 1) / F.lit(float(1 << 63))
+    some = own.join(F.broadcast(sizes), "y").where(place * F.col("n") < per_language + 6 * per_language**0.5).select("y", "h", "text")
+
+    def run(t: pa.Table) -> tuple:
+        t = t.sort_by([("h", "ascending"), ("y", "ascending"), ("text", "ascending")])
+        taken: dict[str, int] = {}
+        keep = []
+        for y in t.column("y").to_pylist():
+            taken[y] = taken.get(y, 0) + 1
+            keep.append(taken[y] <= per_language)
+        t = t.filter(pa.array(keep, pa.bool_()))
+        return tuple(fit(t.column("text").to_pylist(), t.column("y").to_pylist()))
+
+    return Model(*fitted(some, run))
 
 
 def has_letter(c: Chunk) -> np.ndarray:

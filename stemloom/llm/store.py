@@ -1,45 +1,55 @@
-"""Tables, shared folders and lineage cuts that work on a cluster.
+"""Tables, shared folders, lineage cuts and fits in tasks, as they work on a cluster.
 
 ``spark.checkpoint.dir`` names the one folder that driver and executors share.
-It is read from the session and set here only where it is unset, as in tests.
+It is read from the session. Where it is unset, a session on one machine gets a
+folder of its own, as in tests; a cluster without it is an error.
 """
 
 from __future__ import annotations
 
-import ctypes
-import gc
+import pickle
 import tempfile
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+
+#: Bytes of the longest text that a model is fitted on: a sample of so many rows is so many times this, at most.
+LONGEST = 40_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read from there, without their lineage.
 
     A lost executor takes nothing with it: the files stay, and each later task reads them anew.
-    The shuffle files of the lineage are of no use then; they go as soon as the driver has
-    collected its garbage, which is asked for here, as a driver with little to do may not for long.
     """
-    spark = df.sparkSession
-    ctx = spark.sparkContext
+    ctx = df.sparkSession.sparkContext
     if not ctx.getCheckpointDir():
-        ctx.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    kept = df.checkpoint(eager=True)
-    del df
-    gc.collect()
-    ctx._jvm.System.gc()
-    return kept
-
-
-def give_back() -> None:
-    """Returns freed memory to the system, so that training leaves the driver as small as it was; where the C library can't, nothing happens."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+        ctx.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What ``fit`` makes of a bounded sample, in one task: the driver gets the model, of plain values and arrays, and no texts."""
+    schema = to_arrow_schema(sample.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches([b.cast(schema) for b in batches], schema)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(rows), protocol=5)], pa.binary())})
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found.model) if found else fit(schema.empty_table())

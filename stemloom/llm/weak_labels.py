@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from stemloom.llm.arrowtext import ALNUM, LOWER, NON_SPACE, Chunk, RollingHash, byte_table, chunks, lengths, mix, runs
 from stemloom.llm.quality_rules import counts
-from stemloom.llm.store import cut
+from stemloom.llm.store import LONGEST, cut, fitted
 
 U64 = np.uint64
 BUCKETS = 1 << 16
@@ -183,17 +183,21 @@ def fit(texts: list[str], target: np.ndarray, epochs: int = 8, rate: float = 0.5
     return Scorer(w, bias)
 
 
-def train(docs: DataFrame, sample: int = 4_000) -> Scorer:
-    """Label model on the patterns of all documents; scorer on at most ``sample`` distinct texts, those of least hash."""
+def train(docs: DataFrame, sample: int = 4_000, longest: int = LONGEST) -> Scorer:
+    """Label model on the patterns of all documents; scorer on at most ``sample`` distinct texts of at most ``longest`` bytes, those of least hash."""
     seen = cut(surveyed(docs))  # two numbers a document
-    table = seen.groupBy("pattern").count().toPandas()  # 3 ** labellers rows at most
-    table["good"] = posteriors(table["pattern"].to_numpy(), table["count"].to_numpy())[0]
-    good = dict(zip(table["pattern"], table["good"], strict=True))
+    counted = seen.groupBy("pattern").count().toPandas()  # 3 ** labellers rows at most
+    good = dict(zip(counted["pattern"], posteriors(counted["pattern"].to_numpy(), counted["count"].to_numpy())[0], strict=True))
     ids = seen.groupBy("text_hash").agg(F.min("pattern").alias("pattern")).orderBy("text_hash").limit(sample)
     text = F.col("text").cast("string")
-    own = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).join(F.broadcast(ids), "text_hash")
-    rows = own.groupBy("text_hash", "pattern").agg(F.max("text").alias("text")).toPandas().sort_values("text_hash")  # at most sample texts
-    return fit(list(rows["text"]), rows["pattern"].map(good).to_numpy(float))
+    own = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).where(F.octet_length("text") <= longest).join(F.broadcast(ids), "text_hash")
+    rows = own.groupBy("text_hash", "pattern").agg(F.max("text").alias("text"))
+
+    def run(t: pa.Table) -> tuple:
+        t = t.sort_by("text_hash")
+        return tuple(fit(t.column("text").to_pylist(), np.array([good[x] for x in t.column("pattern").to_pylist()], float)))
+
+    return Scorer(*fitted(rows, run))
 
 
 def score(docs: DataFrame, scorer: Scorer, least: float = 0.9) -> DataFrame:
