@@ -5,7 +5,9 @@ elements up to their end tag, and an open-element stack. Text in drawings and
 choices is skipped while they are on the stack; what can't stand in them ends
 them. Broken markup is taken as browsers take it
 where that matters here: a new paragraph or list item ends the open one, an end
-tag ends what is open inside its element, and one without a start is ignored.
+tag ends what is open inside its element, and one without a start is ignored. A
+line break ends a block, as a paragraph does; pictures and fields in a line don't.
+A tag whose attribute's quote never ends is read up to its first ``>``.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from html import unescape
 from typing import NamedTuple
 
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe)(?=[\s/>])[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe)(?=[\s/>])[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)(?=[\s/])([^<>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 RAW_END = {k: re.compile(rf"</{k}(?=[\s/>])[^>]*>", re.I) for k in "script style noscript template textarea title iframe".split()}
@@ -23,7 +25,7 @@ SELF_CLOSED = re.compile(r"(?<![^\s\"'])/\Z|(?:^|[\s\"'])[^\s=\"']*/\Z")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 # fixed values: element kinds of the HTML standard
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big button canvas cite code data del dfn em embed font i img input ins kbd label map meter object output picture progress mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body article section main nav aside header footer div table ul ol dl form td th blockquote".split())
@@ -71,10 +73,11 @@ def blocks(html: str) -> list[Block]:
                 end = RAW_END[m[1].lower()].search(html, at)
                 at = end.end() if end else len(html)
             continue
-        name = (m[3] or "").lower()
+        ending, name, rest = (m[2], m[3], m[4]) if m[3] else (m[5], m[6] or "", m[7])
+        name = name.lower()
         if not name:
             continue
-        if m[2]:
+        if ending:
             inner = next((k for k in range(len(stack) - 1, skip - 1, -1) if stack[k][0] == name), None) if skip is not None else None
             if inner is not None:
                 del stack[inner:]
@@ -93,7 +96,7 @@ def blocks(html: str) -> list[Block]:
                 del stack[found:]
                 skip = None
         else:
-            closed = bool(SELF_CLOSED.search(m[4]))
+            closed = bool(SELF_CLOSED.search(rest))
             if skip is not None:
                 root = stack[skip][0]
                 foreign = root == "svg" and any(t in ("foreignobject", "desc") for t, _ in stack[skip:])
@@ -124,7 +127,7 @@ def blocks(html: str) -> list[Block]:
                     break
             if name == "body":
                 stack[:] = [x for x in stack if x[0] == "html"]
-            names = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m[4])) if m[4] else ""
+            names = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(rest)) if rest else ""
             stack.append((name, names))
             if name in SKIPPED:
                 skip = len(stack) - 1

@@ -4,8 +4,9 @@ Each block is labelled content or boilerplate, from features of its ancestors'
 tags and class words and of its text, together with its neighbours' labels. The
 field is trained by stochastic gradient ascent of the likelihood on labelled
 pages and decoded by Viterbi. Labelled pages are a bounded sample of the pages
-at hand (``sample``) whose markup marks the article, and generated pages in many
-layouts whose labels are known, filled with the sample's sentences.
+at hand (``sample``) whose markup marks the article, each taken once with that mark
+and once without it, and generated pages in many layouts whose labels are known,
+filled with the sample's sentences.
 
 Defined results: a null or empty page, and a page without content blocks, has
 the empty text; broken markup is read as far as it goes; repeated rows give the
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemloom.llm.html_blocks import WORD, Block, blocks
+from stemloom.llm.store import LONGEST, fitted
 
 FEATURES = 1 << 13
 # fixed values: names that page templates give to the parts of a page
@@ -166,16 +168,15 @@ def marked(page: list[Block]) -> list[int] | None:
     return [int(any(t == "article" for t, _ in b.path) and not any(t in ("nav", "aside", "footer", "form", "header") or set(n.lower().split()) & other for t, n in b.path)) for b in page]
 
 
-def train(pages: DataFrame, sample: int = 150, made: int = 450) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions from at most ``sample`` pages, the ones of least hash, and ``made`` generated ones."""
-    ids = pages.where("html is not null").select(F.col("page_id").alias("k"), F.xxhash64(F.col("page_id").cast("string")).alias("h")).orderBy("h").limit(sample)
-    rows = pages.select(F.col("page_id").alias("k"), F.col("html").cast("string").alias("html")).join(F.broadcast(ids), "k").orderBy("h", "html").limit(sample).collect()  # at most sample pages
+def learnt(pages: list[str], made: int) -> tuple[np.ndarray, np.ndarray]:
     known, sentences = [], []
-    for row in rows:
-        page = blocks(row["html"])
+    for html in pages:
+        page = blocks(html)
         labels = marked(page)
         if labels:
             known.append((features(page), labels))
+            # once more without the mark, so that what stands around and in an article must tell it too
+            known.append((features([b._replace(path=tuple(("div", "") if t == "article" else (t, n) for t, n in b.path)) for b in page]), labels))
             sentences += [s for b, y in zip(page, labels, strict=True) if y for s in b.text.split(". ")][:40]
     for html, truth in generated(sentences, made):
         page, at, labels = blocks(html), 0, []
@@ -188,6 +189,18 @@ def train(pages: DataFrame, sample: int = 150, made: int = 450) -> tuple[np.ndar
     return fit(known)
 
 
+def train(pages: DataFrame, sample: int = 150, made: int = 450, longest: int = 10 * LONGEST) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions from at most ``sample`` pages of at most ``longest`` bytes, the ones of least hash, and ``made`` generated ones."""
+    rows = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").isNotNull() & (F.octet_length("html") <= longest)).select(F.xxhash64("html").alias("h"), "html")
+    ids = rows.select("h").orderBy("h").limit(sample)
+    some = rows.join(F.broadcast(ids.distinct()), "h", "left_semi").dropDuplicates(["h", "html"])
+
+    def run(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return learnt(t.sort_by([("h", "ascending"), ("html", "ascending")]).column("html").to_pylist()[:sample], made)
+
+    return tuple(fitted(some, run))
+
+
 def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     shared = pages.sparkSession.sparkContext.broadcast(model)  # of fixed size
