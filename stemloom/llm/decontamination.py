@@ -13,8 +13,9 @@ usual benchmark) nothing is shuffled.
 
 Defined results: null and empty texts have no words, no hits and no items; an
 item without words occurs nowhere; an item of fewer than ``window`` words is one
-window of its own length; repeated items each count; null item ids are left out
-of the id list but their windows hit; empty tables give no rows, or no hits;
+window of its own length; items are known by their ids, so one that is repeated
+counts once; null item ids are left out of the list and the count but their
+windows hit; empty tables give no rows, or no hits;
 repeated documents are judged alike; further columns are ignored.
 """
 
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemloom.llm.arrowtext import ALNUM, LOWER, RollingHash, chunks, grams, runs
+from stemloom.llm.store import cut
 
 U64 = np.uint64
 
@@ -136,9 +138,15 @@ def item_digest(ids: list[str]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, block_chars: int = 8_000_000) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids as sorted strings), contaminated for each document."""
     spark = docs.sparkSession
-    parts = []
+    parts, scans, blocks, fields = [], [], 0, "doc_id long, n_words long, hits array<int>, items array<string>, row long"
+    # with several blocks a row must have the same number in each scan, whatever its lineage gives the second time
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     for block in benchmark_blocks(benchmark, window, gram, block_chars):
         shared = spark.sparkContext.broadcast(tuple(block))  # at most block_chars characters' windows
+        blocks += 1
+        if blocks == 2:
+            numbered = cut(numbered)
+            parts = [numbered.mapInArrow(scans[0], fields)]
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = Block(*shared.value)
@@ -157,19 +165,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
                         places[rows[w]].append(w - int(begins[rows[w]]))
                     yield pa.RecordBatch.from_pydict({
                         "doc_id": batch.column(0).slice(c.lo, n), "n_words": pa.array(np.bincount(rows, minlength=n)[:n], pa.int64()),
-                        "hits": pa.array(places, pa.list_(pa.int32())), "items": pa.array([sorted({i for i in x if i is not None}) for x in items], pa.list_(pa.string())), "any_item": pa.array([len(x) for x in items], pa.int64()),
+                        "hits": pa.array(places, pa.list_(pa.int32())), "items": pa.array([sorted({i for i in x if i is not None}) for x in items], pa.list_(pa.string())),
                     })
 
-        parts.append(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "text", "row").mapInArrow(_keep_row(scan), "doc_id long, n_words long, hits array<int>, items array<string>, any_item long, row long"))
+        scans.append(_keep_row(scan))
+        parts.append(numbered.mapInArrow(scans[-1], fields))
     if len(parts) == 1:
         merged = parts[0]
     else:
         every = parts[0]
         for p in parts[1:]:
             every = every.unionByName(p)
-        merged = every.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("any_item").alias("any_item"))
+        merged = every.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     n_hit = F.size("hits").cast("long")
-    return merged.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", F.col("any_item").alias("n_items"), (n_hit > 0).alias("contaminated"))
+    return merged.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", F.size("items").cast("long").alias("n_items"), (n_hit > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, block_chars: int = 8_000_000) -> DataFrame:
