@@ -20,7 +20,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -88,7 +89,7 @@ def _hits(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     current = F.lit(False)
     for r in rules:
         current |= (F.col("kind") == r.kind) & (F.col("version") == r.version)
-    hits = ledger.where(current & (F.size("spans") > 0)).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # a blob has a row a rule
+    hits = ledger.where(current & (F.size("spans") > 0)).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))  # a blob has a row a rule
     return hits.select("blob", F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans"))
 
 
@@ -101,21 +102,43 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
 def redacted(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with each secret's span replaced by its kind in brackets, and ``n_chars`` to match.
 
-    Spans that overlap are replaced as one, by the first one's kind; texts without secrets stay as they are.
+    Spans that overlap are replaced as one, by the first one's kind; texts without secrets stay as they are. Columns may
+    have any names: they travel in one struct.
     """
-    text = F.col("text")
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.lit("").alias("out"))
+    text = F.col("own.text").cast("string")
+    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         clear = F.substring(text, acc["at"].cast("int"), (s["start"] + 1 - acc["at"]).cast("int"))
-        out = F.when(s["start"] + 1 >= acc["at"], F.concat(acc["out"], clear, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"])
+        out = F.when(s["start"] + 1 >= acc["at"], F.concat(acc["out"], F.array(F.concat(clear, F.lit("["), s["kind"], F.lit("]"))))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), out.alias("out"))
 
-    body = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int"), F.length(text))))
-    hits = _hits(ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_blob", F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)).join(hits, "_blob", "left")
-    found = F.col("_spans").isNotNull()
-    own = {"text": F.when(found, body).otherwise(text)}
+    body = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"].cast("int"), F.length(text))))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("blob"))
+    found = F.col("spans").isNotNull()
+    made = whole.join(_hits(ledger, rules), "blob", "left").select("own", F.when(found, body).alias("clean"))
+    own = {"text": F.coalesce("clean", F.col("own.text"))}
     if "n_chars" in docs.columns:
-        own["n_chars"] = F.when(found, F.length(body).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return joined.select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns])
+        own["n_chars"] = F.coalesce(F.length("clean").cast(docs.schema["n_chars"].dataType), F.col("own.n_chars"))
+    return made.select(*[own.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns])
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at a path, None if nothing has been scanned into it."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def scan_into(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans what the ledger at ``path`` lacks, appends it there and gives the whole ledger.
+
+    A run that is lost before its commit appends nothing and is scanned again; two runs at once may both append a blob, and
+    equal rows of a blob count once.
+    """
+    spark = docs.sparkSession
+    scan(docs, stored(spark, path), rules).write.mode("append").parquet(path)
+    return stored(spark, path)
