@@ -21,6 +21,7 @@ capped; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -38,12 +39,21 @@ from pyspark.sql import functions as F
 POOL = 512
 #: Pre-tokens whose ids a worker keeps; then it starts anew.
 KNOWN = 400_000
-#: The tokenizer's own split of text without white space, as in its file.
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts with other characters, or with a special token's brackets, go to the tokenizer as they are.
 PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
 
 
+def split_of(spec: str) -> str | None:
+    """The pattern of pre-tokens in a tokenizer file, where it says that these are all that matters; None of a file of another kind, whose texts are encoded whole."""
+    file = json.loads(spec)
+    steps = lambda part, key: [x for x in ((file.get(part) or {}).get(key) or [])]
+    normal, split = steps("normalizer", "normalizers"), steps("pre_tokenizer", "pretokenizers")
+    if [x["type"] for x in normal] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in split] != ["Split", "ByteLevel"]:
+        return None
+    first = split[0]
+    return first["pattern"].get("Regex") if first["behavior"] == "Removed" and first["invert"] and not split[1]["add_prefix_space"] else None
+
+
 class Encoder:
     """The ids of whole texts, exactly as the tokenizer file gives them.
 
@@ -56,7 +66,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.find = regex.compile(PRETOKEN).findall
+        pattern = split_of(self.whole.to_str())
+        self.find = regex.compile(pattern).findall if pattern else None
         self.forget()
 
     def forget(self) -> None:
@@ -81,7 +92,7 @@ class Encoder:
         out: list[np.ndarray | None] = [None] * len(texts)
         split = []
         for i, t in enumerate(texts):
-            if PLAIN.fullmatch(t) and "<|" not in t:
+            if self.find and PLAIN.fullmatch(t) and "<|" not in t:
                 split.append((i, self.find(unicodedata.normalize("NFC", t).lower())))
             else:
                 out[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
