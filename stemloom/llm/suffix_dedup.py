@@ -16,7 +16,8 @@ the same place, and only windows around suffixes that begin alike can be equal.
    ``BLOCK`` whose common core is hashed (128 bits) and whose differing bytes are
    kept; blocks of equal cores meet, and each window is compared with its equals by
    those bytes. Blocks that are equal as a whole repeat each other in all their
-   windows; of a common core only one of each kind waits for the others. A core
+   windows; of a common core only one of each kind waits for the others, and each
+   task merges its own before they meet. A core
    with more than ``HOT`` different blocks is compared window by window in an
    aggregation with partial sums instead.
 3. Each text drops the bytes that its repeated windows cover.
@@ -97,9 +98,13 @@ def leading(data: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def addressed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, row): equal rows share their address, and are each read."""
+    """(doc_id, text, row, part): equal rows share their address, and are each read.
+
+    The address is the doc_id and a hash of the text; where there is no doc_id, two hashes.
+    """
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"))
+    return whole.withColumns({"row": F.coalesce("doc_id", F.xxhash64(F.lit("none"), "text")), "part": F.xxhash64("text")})
 
 
 def suffixes(texts: DataFrame, length: int, splitters: list[tuple[int, ...]] | None) -> DataFrame:
@@ -107,42 +112,42 @@ def suffixes(texts: DataFrame, length: int, splitters: list[tuple[int, ...]] | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(2).to_numpy()
+            rows, parts = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             for c in chunks(batch):
                 r, place, lo, hi = sampled_suffixes(c.data, c.offsets, length)
                 key = leading(c.data, place)
-                own = rows[c.lo + r]
+                own, part = rows[c.lo + r], parts[c.lo + r]
                 begin = c.offsets[r]
                 bucket = np.searchsorted(heads, key[:, 0], "left")
                 for i in np.flatnonzero(bucket != np.searchsorted(heads, key[:, 0], "right")):
-                    bucket[i] = bisect_left(splitters, (*key[i].tolist(), int(own[i]), int(place[i] - begin[i])))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket.astype(np.int32)), "row": pa.array(own)} | {k: pa.array(np.ascontiguousarray(key[:, i])) for i, k in enumerate(WORDS)} | {k: pa.array((v - begin).astype(np.int32)) for k, v in (("place", place), ("lo", lo), ("hi", hi))})
+                    bucket[i] = bisect_left(splitters, (*key[i].tolist(), int(own[i]), int(part[i]), int(place[i] - begin[i])))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket.astype(np.int32)), "row": pa.array(own), "part": pa.array(part)} | {k: pa.array(np.ascontiguousarray(key[:, i])) for i, k in enumerate(WORDS)} | {k: pa.array((v - begin).astype(np.int32)) for k, v in (("place", place), ("lo", lo), ("hi", hi))})
 
-    return texts.mapInArrow(run, "bucket int, row long, k0 long, k1 long, k2 long, k3 long, place int, lo int, hi int")
+    return texts.mapInArrow(run, "bucket int, row long, part long, k0 long, k1 long, k2 long, k3 long, place int, lo int, hi int")
 
 
 def splitters_of(texts: DataFrame, length: int, parts: int) -> list[tuple[int, ...]]:
     """At most parts - 1 keys that part a sample of the suffixes evenly; repeated beginnings are told apart by place."""
     n = texts.count()
-    some = texts.where(F.pmod(F.col("row"), F.lit(max(1, n // SAMPLE))) == 0) if n > SAMPLE else texts
-    got = suffixes(some, length, None).select(*WORDS, "row", "place").limit(SAMPLED).toPandas()
+    some = texts.where(F.pmod(F.xxhash64("row", "part"), F.lit(max(1, n // SAMPLE))) == 0) if n > SAMPLE else texts
+    got = suffixes(some, length, None).select(*WORDS, "row", "part", "place").limit(SAMPLED).toPandas()
     keys = sorted(map(tuple, got.to_numpy(np.int64).tolist()))
     return [keys[len(keys) * i // parts] for i in range(1, parts)] if len(keys) >= parts else []
 
 
 def repeated_suffixes(texts: DataFrame, length: int) -> DataFrame:
-    """(row, place, lo, hi) of the sampled suffixes whose leading words come again."""
+    """(row, part, place, lo, hi) of the sampled suffixes whose leading words come again."""
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     splitters = splitters_of(texts, length, parts)
     dealt = suffixes(texts, length, splitters).repartitionById(len(splitters) + 1, F.col("bucket"))
-    names = [*WORDS, "row", "place", "lo", "hi"]
+    names = [*WORDS, "row", "part", "place", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with an equal neighbour; and, marked as edges, the first and last row of the bucket."""
 
         def out(rows: np.ndarray, twin: np.ndarray, edge: bool) -> pa.RecordBatch:
-            kinds = [np.int64] * 5 + [np.int32] * 3
+            kinds = [np.int64] * 6 + [np.int32] * 3
             return pa.RecordBatch.from_arrays([*[pa.array(rows[:, i].astype(k)) for i, k in enumerate(kinds)], pa.array(twin), pa.array(np.full(len(rows), edge))], names=[*names, "twin", "edge"])
 
         held, before, first = None, False, None
@@ -166,48 +171,108 @@ def repeated_suffixes(texts: DataFrame, length: int) -> DataFrame:
                 yield out(held, np.ones(1, bool), False)
             yield out(np.vstack([first, held]) if (first != held).any() else held, np.zeros(1 + int((first != held).any()), bool), True)
 
-    schema = "k0 long, k1 long, k2 long, k3 long, row long, place int, lo int, hi int, twin boolean, edge boolean"
+    schema = "k0 long, k1 long, k2 long, k3 long, row long, part long, place int, lo int, hi int, twin boolean, edge boolean"
     compared = cut(dealt.select(*names, "bucket").sortWithinPartitions(*WORDS).select(*names).mapInArrow(run, schema))
     edges = compared.where("edge")
     across = edges.groupBy(*WORDS).agg(F.count("*").alias("n")).where("n > 1")
-    ends = edges.join(across, list(WORDS), "left_semi").select("row", "place", "lo", "hi")
-    return compared.where("not edge").select("row", "place", "lo", "hi").union(ends)
+    ends = edges.join(across, list(WORDS), "left_semi").select("row", "part", "place", "lo", "hi")
+    return compared.where("not edge").select("row", "part", "place", "lo", "hi").union(ends)
+
+
+def unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    flat = np.frombuffer(b"".join(t.column("near").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    return flat, t.column("left").to_numpy(), t.column("right").to_numpy()
+
+
+NAMES = ("row", "part", "core", "mask", "key")
+
+
+def results(t: pa.Table, mask: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
+    keys = pa.nulls(len(mask), pa.int64()) if key is None else pa.array(key)
+    return pa.RecordBatch.from_arrays([t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c) for c in NAMES[:3]] + [pa.array(mask.view(np.int64)), keys], names=NAMES)
+
+
+def merged(t: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
+    """Of blocks, those with an equal one, with the mask of all their windows; and one of each kind."""
+    near, left, right = unpack(t)
+    odd = mix(np.arange(near.shape[1], dtype=U64) + U64(1)) | U64(1)
+    kind = mix(t.column("h1").to_numpy().view(U64)) ^ t.column("h2").to_numpy().view(U64)
+    for k in range(near.shape[1]):
+        kind += near[:, k].astype(U64) * odd[k]
+    kind = mix(kind ^ mix((left.astype(U64) << U64(32)) | right.astype(U64)))
+    _, first, at, n = np.unique(kind, return_index=True, return_inverse=True, return_counts=True)
+    low, high = BLOCK - 1 - right, left
+    mask = np.zeros(len(kind), U64)
+    for s in range(BLOCK):
+        mask |= ((low <= s) & (s <= high)).astype(U64) << U64(s)
+    good = (n[at] > 1) & (mask != 0)
+    return results(t.filter(pa.array(good)), mask[good]), t.take(pa.array(np.sort(first)))
 
 
 def cores(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """(h1, h2, near, left, right, row, core): each block of windows around the repeated suffixes.
+    """(h1, h2, near, left, right, row, part, core, mask): each block of windows around the repeated suffixes.
 
-    ``near`` has the bytes before the core, nearest first, then those after it.
+    ``near`` has the bytes before the core, nearest first, then those after it. Blocks that a task has twice are known to be
+    repeated: they have their mask and no ``near``, and one of each kind goes on to meet those of other tasks, so that a
+    core that many texts share reaches its task about once from each task here.
     """
-    listed = places.groupBy("row").agg(F.collect_list(F.struct("place", "lo", "hi")).alias("places"))  # a text's own suffixes
-    joined = texts.join(listed, "row").select("doc_id", "text", "row", "places")
+    listed = places.groupBy("row", "part").agg(F.collect_list(F.struct("place", "lo", "hi")).alias("places"))  # a text's own suffixes
+    joined = texts.join(listed, ["row", "part"]).select("doc_id", "text", "row", "part", "places")
     span = length - BLOCK + 1
+    names = ["h1", "h2", "near", "left", "right", "row", "part", "core", "mask"]
+
+    def met(waiting: list[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch], int]:
+        """Results of the waiting blocks that are equal, and one of each kind, which wait on."""
+        done, rest = merged(pa.Table.from_batches(waiting))
+        out = []
+        if done.num_rows:
+            spread = mix(done.column(0).to_numpy().view(U64) ^ mix(done.column(2).to_numpy().astype(U64) ^ done.column(1).to_numpy().view(U64))).view(np.int64)
+            none = pa.nulls(done.num_rows, pa.int32())
+            out = [pa.RecordBatch.from_arrays([pa.array(spread), pa.array(spread), pa.nulls(done.num_rows, pa.binary()), none, none, *(done.column(k) for k in range(4))], names=names)]
+        return out, rest.combine_chunks().to_batches(), rest.num_rows
+
+    def blocks(data: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, row: int, part: int) -> pa.RecordBatch | None:
+        a, b = (place - hi) // BLOCK, (place - lo) // BLOCK
+        each = b - a + 1
+        step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(a, each)
+        core = np.unique(np.repeat(place.astype(np.int64), each) - step * BLOCK)
+        core = core[(core >= 0) & (core + span <= len(data))]
+        if not len(core):
+            return None
+        h1, h2 = (RollingHash(data, base).span(core, core + span) for base in (BASE_B, 0xA0761D6478BD642F))
+        padded = np.concatenate([np.zeros(BLOCK, np.uint8), data, np.zeros(BLOCK, np.uint8)])
+        k = np.arange(BLOCK - 1)
+        near = np.hstack([padded[core[:, None] + BLOCK - 1 - k], padded[core[:, None] + BLOCK + span + k]])
+        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(near.shape[1]), len(core), [None, pa.py_buffer(np.ascontiguousarray(near))]).cast(pa.binary())
+        ends = [pa.array(np.minimum(x, BLOCK - 1).astype(np.int32)) for x in (core, len(data) - core - span)]
+        return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), raw, *ends, pa.array(np.full(len(core), row, np.int64)), pa.array(np.full(len(core), part, np.int64)), pa.array(core.astype(np.int32)), pa.nulls(len(core), pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        fresh = held = 0
         for batch in batches:
             for i in range(batch.num_rows):
                 data = np.frombuffer(batch.column(1)[i].as_py().encode(), np.uint8)
-                p = batch.column(3)[i].values
-                place, lo, hi = (p.field(k).to_numpy() for k in range(3))
-                a, b = (place - hi) // BLOCK, (place - lo) // BLOCK
-                each = b - a + 1
-                step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(a, each)
-                core = np.unique(np.repeat(place.astype(np.int64), each) - step * BLOCK)
-                core = core[(core >= 0) & (core + span <= len(data))]
-                if not len(core):
+                p = batch.column(4)[i].values
+                made = blocks(data, *(p.field(k).to_numpy() for k in range(3)), batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
+                if made is None:
                     continue
-                h1, h2 = (RollingHash(data, base).span(core, core + span) for base in (BASE_B, 0xA0761D6478BD642F))
-                padded = np.concatenate([np.zeros(BLOCK, np.uint8), data, np.zeros(BLOCK, np.uint8)])
-                k = np.arange(BLOCK - 1)
-                near = np.hstack([padded[core[:, None] + BLOCK - 1 - k], padded[core[:, None] + BLOCK + span + k]])
-                width = near.shape[1]
-                yield pa.RecordBatch.from_pydict({
-                    "h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64)), "near": pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(core), [None, pa.py_buffer(np.ascontiguousarray(near))]).cast(pa.binary()),
-                    "left": pa.array(np.minimum(core, BLOCK - 1).astype(np.int32)), "right": pa.array(np.minimum(len(data) - core - span, BLOCK - 1).astype(np.int32)),
-                    "row": pa.array(np.full(len(core), batch.column(2)[i].as_py(), np.int64)), "core": pa.array(core.astype(np.int32)),
-                })
+                waiting.append(made)
+                fresh += made.num_rows
+                if fresh < MERGE:
+                    continue
+                out, waiting, kinds = met(waiting)
+                yield from out
+                fresh, held = 0, kinds
+                if held > MERGE:  # mostly blocks of one kind each: no use in waiting
+                    yield from waiting
+                    waiting, held = [], 0
+        if waiting:
+            out, waiting, _ = met(waiting)
+            yield from out
+            yield from waiting
 
-    return joined.mapInArrow(run, "h1 long, h2 long, near binary, left int, right int, row long, core int")
+    return joined.mapInArrow(run, "h1 long, h2 long, near binary, left int, right int, row long, part long, core int, mask long")
 
 
 def window_keys(near: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -223,11 +288,9 @@ def window_keys(near: np.ndarray, left: np.ndarray, right: np.ndarray, group: np
 
 
 def repeated_windows(blocks: DataFrame) -> DataFrame:
-    """(row, core, mask, key): the shifts of a block's repeated windows; or one window of a hot core, with its key."""
+    """(row, part, core, mask, key): the shifts of a block's repeated windows; or one window of a hot core, with its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("row", "core", "mask", "key")
-
         def resolved(t: pa.Table) -> Iterator[pa.RecordBatch]:
             h = np.stack([t.column(k).to_numpy() for k in ("h1", "h2")], 1)
             new = np.ones(len(h), bool)
@@ -249,41 +312,21 @@ def repeated_windows(blocks: DataFrame) -> DataFrame:
                 twin[:-1] |= same
                 mask[at[order[twin]]] |= U64(1) << U64(s)
             good = mask != 0
-            yield pa.RecordBatch.from_arrays([pa.array(t.column("row").to_numpy()[good]), pa.array(t.column("core").to_numpy()[good]), pa.array(mask[good].view(np.int64)), pa.nulls(int(good.sum()), pa.int64())], names=names)
+            yield results(t.filter(pa.array(good)), mask[good])
 
         def exploded(t: pa.Table) -> Iterator[pa.RecordBatch]:
             near, left, right = unpack(t)
             group = mix(t.column("h1").to_numpy().view(U64) ^ mix(t.column("h2").to_numpy().view(U64)))
-            row, core = t.column("row").to_numpy(), t.column("core").to_numpy()
             for s, there, key in window_keys(near, left, right, group):
-                n = int(there.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(row[there]), pa.array(core[there]), pa.array(np.full(n, 1 << s if s < 63 else -(1 << 63), np.int64)), pa.array(key[there].view(np.int64))], names=names)
-
-        def unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            flat = np.frombuffer(b"".join(t.column("near").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-            return flat, t.column("left").to_numpy(), t.column("right").to_numpy()
-
-        def merged(t: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
-            """Rows with an equal one, with the mask of all their windows; and one row of each kind."""
-            near, left, right = unpack(t)
-            odd = mix(np.arange(near.shape[1], dtype=U64) + U64(1)) | U64(1)
-            kind = np.zeros(len(near), U64)
-            for k in range(near.shape[1]):
-                kind += near[:, k].astype(U64) * odd[k]
-            kind = mix(kind ^ mix((left.astype(U64) << U64(32)) | right.astype(U64)))
-            _, first, at, n = np.unique(kind, return_index=True, return_inverse=True, return_counts=True)
-            more = n[at] > 1
-            low, high = BLOCK - 1 - right, left
-            mask = np.zeros(len(kind), U64)
-            for s in range(BLOCK):
-                mask |= ((low <= s) & (s <= high)).astype(U64) << U64(s)
-            good = more & (mask != 0)
-            out = pa.RecordBatch.from_arrays([pa.array(t.column("row").to_numpy()[good]), pa.array(t.column("core").to_numpy()[good]), pa.array(mask[good].view(np.int64)), pa.nulls(int(good.sum()), pa.int64())], names=names)
-            return out, t.take(pa.array(first))
+                yield results(t.filter(pa.array(there)), np.full(int(there.sum()), U64(1) << U64(s)), key[there].view(np.int64))
 
         waiting: list[pa.RecordBatch] = []
         hot, kinds = None, 0
         for batch in batches:
+            known = batch.filter(batch.column(8).is_valid())
+            if known.num_rows:
+                yield results(pa.Table.from_batches([known]), known.column(8).to_numpy().view(U64))
+                batch = batch.filter(batch.column(8).is_null())
             if not batch.num_rows:
                 continue
             h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -318,7 +361,7 @@ def repeated_windows(blocks: DataFrame) -> DataFrame:
             yield from resolved(pa.Table.from_batches(waiting))
 
     dealt = blocks.repartition("h1").sortWithinPartitions("h1", "h2")
-    return dealt.mapInArrow(run, "row long, core int, mask long, key long")
+    return dealt.mapInArrow(run, "row long, part long, core int, mask long, key long")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = True) -> DataFrame:
@@ -329,9 +372,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = True) -
     found = repeated_windows(cores(texts, repeated_suffixes(texts, length), length))
     single = found.where("key is not null")
     again = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    masks = found.where("key is null").select("row", "core", "mask").union(single.join(again, "key").select("row", "core", "mask"))
-    listed = masks.groupBy("row").agg(F.collect_list(F.struct("core", "mask")).alias("masks"))  # a text's own windows
-    joined = texts.join(listed, "row", "left").select("doc_id", "text", "row", "masks")
+    masks = found.where("key is null").select("row", "part", "core", "mask").union(single.join(again, "key").select("row", "part", "core", "mask"))
+    listed = masks.groupBy("row", "part").agg(F.collect_list(F.struct("core", "mask")).alias("masks"))  # a text's own windows
+    joined = texts.join(listed, ["row", "part"], "left").select("doc_id", "text", "row", "masks")
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
