@@ -46,7 +46,7 @@ from stemloom.llm.store import cut
 U64 = np.uint64
 ANCHOR = 32
 BLOCK = 64
-#: Documents from which the splitters are taken; suffixes read from them at most.
+#: Documents from which the splitters are taken, about; suffixes read from them at most.
 SAMPLE = 1_000
 SAMPLED = 200_000
 #: Blocks of one core that wait in a task before equal ones are merged; different ones that are compared there.
@@ -108,6 +108,7 @@ def addressed(docs: DataFrame) -> DataFrame:
 
 
 def suffixes(texts: DataFrame, length: int, splitters: list[tuple[int, ...]] | None) -> DataFrame:
+    """The sampled suffixes with their buckets; without splitters, the bucket is the size of the text."""
     heads = np.array([s[0] for s in splitters or []], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,8 +119,8 @@ def suffixes(texts: DataFrame, length: int, splitters: list[tuple[int, ...]] | N
                 key = leading(c.data, place)
                 own, part = rows[c.lo + r], parts[c.lo + r]
                 begin = c.offsets[r]
-                bucket = np.searchsorted(heads, key[:, 0], "left")
-                for i in np.flatnonzero(bucket != np.searchsorted(heads, key[:, 0], "right")):
+                bucket = np.searchsorted(heads, key[:, 0], "left") if splitters is not None else np.diff(c.offsets)[r]
+                for i in np.flatnonzero(bucket != np.searchsorted(heads, key[:, 0], "right")) if splitters else ():
                     bucket[i] = bisect_left(splitters, (*key[i].tolist(), int(own[i]), int(part[i]), int(place[i] - begin[i])))
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket.astype(np.int32)), "row": pa.array(own), "part": pa.array(part)} | {k: pa.array(np.ascontiguousarray(key[:, i])) for i, k in enumerate(WORDS)} | {k: pa.array((v - begin).astype(np.int32)) for k, v in (("place", place), ("lo", lo), ("hi", hi))})
 
@@ -127,12 +128,21 @@ def suffixes(texts: DataFrame, length: int, splitters: list[tuple[int, ...]] | N
 
 
 def splitters_of(texts: DataFrame, length: int, parts: int) -> list[tuple[int, ...]]:
-    """At most parts - 1 keys that part a sample of the suffixes evenly; repeated beginnings are told apart by place."""
-    n = texts.count()
-    some = texts.where(F.pmod(F.xxhash64("row", "part"), F.lit(max(1, n // SAMPLE))) == 0) if n > SAMPLE else texts
-    got = suffixes(some, length, None).select(*WORDS, "row", "part", "place").limit(SAMPLED).toPandas()
-    keys = sorted(map(tuple, got.to_numpy(np.int64).tolist()))
-    return [keys[len(keys) * i // parts] for i in range(1, parts)] if len(keys) >= parts else []
+    """At most parts - 1 keys that part a sample of the suffixes evenly; repeated beginnings are told apart by place.
+
+    A document is taken with a chance that grows with its bytes, as a long one alone may fill buckets, and its suffixes count
+    by the reverse of that chance.
+    """
+    size = F.octet_length("text")
+    each = (texts.agg(F.sum(size).alias("n")).first()["n"] or 0) / SAMPLE
+    chance = F.shiftrightunsigned(F.xxhash64("row", "part"), 1) / F.lit(float(1 << 63))
+    some = suffixes(texts.where(chance * each <= size), length, None)
+    got = some.select(*WORDS, "row", "part", "place", F.greatest(F.lit(1.0), each / F.col("bucket")).alias("weight")).orderBy(F.xxhash64("row", "part", "place")).limit(SAMPLED).toPandas().sort_values([*WORDS, "row", "part", "place"])
+    if len(got) < parts:
+        return []
+    upto = got.pop("weight").to_numpy().cumsum()
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts)
+    return sorted(set(map(tuple, got.to_numpy(np.int64)[np.minimum(at, len(got) - 1)].tolist())))
 
 
 def repeated_suffixes(texts: DataFrame, length: int) -> DataFrame:
