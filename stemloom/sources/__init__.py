@@ -1,0 +1 @@
+"""Readers and writers: alignments, structures, probabilities, connection tables, run settings; all as tables."""

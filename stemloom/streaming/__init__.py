@@ -1,0 +1 @@
+"""Folding of alignments as they arrive."""
