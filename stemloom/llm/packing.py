@@ -54,6 +54,23 @@ def split_of(spec: str) -> str | None:
     return first["pattern"].get("Regex") if first["behavior"] == "Removed" and first["invert"] and not split[1]["add_prefix_space"] else None
 
 
+def plain_pattern(pattern: str) -> re.Pattern | None:
+    """The pattern for texts of PLAIN characters in lower case, with letters and numbers written as ranges; None if it asks for more."""
+    held = {x for c in map(chr, (*range(9, 0x7F), *range(0xA1, 0x250))) if PLAIN.fullmatch(c) for x in c.lower()}
+
+    def ranges(kind: str) -> str:
+        out: list[list[int]] = []
+        for c in sorted(ord(x) for x in held if unicodedata.category(x).startswith(kind)):
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+        return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+    own = pattern.replace(r"\p{L}", ranges("L")).replace(r"\p{N}", ranges("N"))
+    return None if r"\p" in own else re.compile(own)
+
+
 class Encoder:
     """The ids of whole texts, exactly as the tokenizer file gives them.
 
@@ -62,12 +79,12 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         pattern = split_of(self.whole.to_str())
-        self.find = regex.compile(pattern).findall if pattern else None
+        plain = plain_pattern(pattern) if pattern else None
+        self.find = plain.findall if plain else None
         self.forget()
 
     def forget(self) -> None:
