@@ -27,7 +27,7 @@ KT = 61.63207755
 SPAN = 30
 HAIRPIN_COLUMNS = 4
 #: Loops scored at once, times rows.
-CELLS = 1 << 16
+CELLS = 1 << 15
 SUPPORT = -9.91152
 
 
@@ -45,6 +45,20 @@ class Batch(NamedTuple):
     right: np.ndarray
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n consecutive numbers from each first."""
+    return np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+
+
+class Columns(NamedTuple):
+    """An alignment by (column, row), as loops look columns up."""
+
+    code: np.ndarray
+    count: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+
+
 class Sweep:
     def __init__(self, a: Alignment, pairs: Pairable, energies: Energies, beam: int = 100, summed: bool = False, by_columns: bool = False, floor: float | None = -20.0) -> None:
         self.a, self.pairs, self.e, self.beam, self.summed, self.floor = a, pairs, energies, beam, summed, floor
@@ -58,6 +72,9 @@ class Sweep:
         self.closed = np.full(self.length, -1)  # its states
         # unpaired columns of a multiloop up to a column: bases of the rows, or columns where those stand for them
         self.open = np.arange(self.length) * a.total if by_columns else a.filled
+        self.columns = Columns(*(np.ascontiguousarray(x.T) for x in (a.code, a.count, BASE[a.before], BASE[a.after])))
+        bases = np.arange(int(a.count.max(initial=0)) + 1)
+        self.by_bases, self.by_skew = energies.by_size(energies.interior, bases), energies.skews(bases)
         self.listed = self._listed()
         self._run()
 
@@ -89,13 +106,30 @@ class Sweep:
                 listed = np.where(size == n, np.take_along_axis(table, start, 1), listed)
         return self._sum(self.e.hairpins(size, TYPE[a.code[:, i], a.code[:, j]], BASE[a.after[:, i]], BASE[a.before[:, j]], listed))
 
-    def _loops(self, p: np.ndarray, q: np.ndarray, i: np.ndarray, j: int) -> np.ndarray:
-        a, out, step = self.a, [], max(1, CELLS // max(1, len(self.a.weight)))
-        for lo in range(0, len(p), step):
-            x, y, z = p[lo : lo + step], q[lo : lo + step], i[lo : lo + step]
-            ends = np.full(len(z), j)
-            out.append(self._sum(self.e.loops(a.count[:, z - 1] - a.count[:, x], a.count[:, y - 1] - a.count[:, ends], TYPE[a.code[:, x], a.code[:, y]], TYPE[a.code[:, ends], a.code[:, z]], BASE[a.after[:, x]], BASE[a.before[:, y]], BASE[a.before[:, z]], BASE[a.after[:, ends]])))
-        return np.concatenate(out) if out else np.zeros(0)
+    def _loops(self, i: np.ndarray, j: int, k: np.ndarray, p: np.ndarray, q: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Loops between the outer pairs (p, q) numbered ``u`` and the inner pairs (i, j) numbered ``k``; what one pair decides is looked up once a pair."""
+        e, count, weight, rows = self.e, self.columns.count, self.a.weight, len(self.a.weight)
+        after, before, kind = self.columns.after, self.columns.before, lambda x, y: TYPE[self.columns.code[x], self.columns.code[y]]
+        t2, sp, sq, until = kind(np.full(len(i), j), i), before[i], np.broadcast_to(after[j], (len(i), rows)), count[i - 1]
+        inner, out = e.mismatch_interior[t2, sq, sp], np.zeros(len(k))
+        inner_sum = inner @ weight
+        block, step = max(1, 8 * CELLS // max(1, rows)), max(1, CELLS // max(1, rows))
+        for first in range(0, len(p), block):
+            x, y = p[first : first + block], q[first : first + block]
+            t1, si, sj, since, right = kind(x, y), after[x], before[y], count[x], count[y - 1] - count[j]
+            outer = e.mismatch_interior[t1, si, sj]
+            outer_sum = outer @ weight
+            mine = np.flatnonzero((u >= first) & (u < first + block)) if len(p) > block else np.arange(len(k))
+            for lo in range(0, len(mine), step):
+                edge = mine[lo : lo + step]
+                v, w = u[edge] - first, k[edge]
+                n1, n2 = until[w] - since[v], right[v]
+                energy, mismatches = self.by_bases.take(n1 + n2) + self.by_skew.take(np.abs(n1 - n2)), outer_sum[v] + inner_sum[w]
+                at, r = np.nonzero(np.minimum(n1, n2) <= e.tabled)
+                v, w = v[at], w[at]
+                energy[at, r] = e.loops(n1[at, r], n2[at, r], t1[v, r], t2[w, r], si[v, r], sj[v, r], sp[w, r], sq[w, r]) - outer[v, r] - inner[w, r]
+                out[edge] = -(energy @ weight + mismatches) / self.a.total * self.unit
+        return out
 
     def _stems(self, table: np.ndarray, i: np.ndarray, j: int) -> np.ndarray:
         a = self.a
@@ -221,10 +255,17 @@ class Sweep:
             furthest = np.minimum(np.searchsorted(a.filled, a.filled[j] + SPAN * a.total - left, side="right"), last)
             lo, hi = self.pairs.after(p, np.full(len(p), j)), self.pairs.after(p, furthest)
             n = np.maximum(hi - lo, 0)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            p, k = np.repeat(p, n), np.repeat(k, n)
-            q = self.pairs.key[at] % self.length
-            self._send("P", q, p, b.value[k] + self._loops(p, q, b.i[k], j) + self.pairs.score[at] * self.unit, ids[k])
+            at, k = _ranges(lo, n), np.repeat(k, n)
+            # the pairs that any of them reaches, listed once
+            opening, place = np.unique(p, return_inverse=True)
+            begin, reach = np.zeros(len(opening), int), np.zeros(len(opening), int)
+            begin[place] = lo
+            np.maximum.at(reach, place, n)
+            listed = self.pairs.key[_ranges(begin, reach)]
+            u = at + np.repeat((np.cumsum(reach) - reach - begin)[place], n)
+            outer_p, outer_q = listed // self.length, listed % self.length
+            score = b.value[k] + self._loops(b.i, j, k, outer_p, outer_q, u) + self.pairs.score[at] * self.unit
+            self._send("P", outer_q[u], outer_p[u], score, ids[k])
             some = b.i > 0
             self._send("M", j, b.i[some], (b.value + stem)[some], ids[some])
         for k, i in enumerate(b.i.tolist()):

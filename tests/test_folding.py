@@ -2,10 +2,12 @@
 
 import itertools
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
+from stemloom.functions import beam
 from stemloom.functions import structures as st
 from stemloom.functions.beam import KT, Sweep
 from stemloom.functions.conservation import alignment, differing_bases, identity_bins, pairable
@@ -171,3 +173,22 @@ def test_rows_and_files(spark, tmp_path):
     assert "MEA Structure (gamma = 2.00):" in [r.value for r in spark.read.text(str(tmp_path / "mea")).collect()]
     sinks.write_fasta(table.selectExpr("*", "concat('s', seq) as name"), str(tmp_path / "fa"), gaps=False)
     assert spark.read.text(str(tmp_path / "fa")).where("value like '>%'").count() == 2
+
+
+@pytest.mark.parametrize("cells", [8, 1 << 15])
+def test_loops_looked_up_by_pairs_equal_those_scored_one_by_one(monkeypatch, cells):
+    monkeypatch.setattr(beam, "CELLS", cells)
+    rng = np.random.default_rng(4)
+    a = alignment(["".join("ACGU-"[x] for x in rng.integers(0, 5, 40)) for _ in range(5)], [1, 3, 1, 2, 1])
+    some = lambda *shape: rng.integers(-100, 300, shape)
+    for energies in (builtin(), replace(builtin(), two_two=some(8, 8, 5, 5, 5, 5), mismatch_two_three=some(8, 5, 5), mismatch_one_n=some(8, 5, 5))):
+        sweep = Sweep(a, pairable(a, differing_bases()), energies)
+        i, j = np.array([12, 15, 18]), 22
+        p, q = (x.ravel() for x in np.meshgrid([3, 8, 11], [23, 25, 24, 39]))
+        k, u = (x.ravel() for x in np.meshgrid(np.arange(3), np.arange(len(p))))
+        want = []
+        for x, y, z in zip(p[u], q[u], i[k], strict=True):
+            n1, n2, kind = a.count[:, z - 1] - a.count[:, x], a.count[:, y - 1] - a.count[:, j], lambda m, n: TYPE[a.code[:, m], a.code[:, n]]
+            rows = energies.loops(n1, n2, kind(x, y), kind(j, z), BASE[a.after[:, x]], BASE[a.before[:, y]], BASE[a.before[:, z]], BASE[a.after[:, j]])
+            want.append(-(a.weight @ rows) / a.total)
+        assert sweep._loops(i, j, k, p, q, u).tolist() == want
