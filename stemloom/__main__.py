@@ -8,15 +8,14 @@ from __future__ import annotations
 
 import argparse
 import sys
-import tempfile
 import time
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stemloom.operators import evaluation as ev
-from stemloom.operators.folding import Model, counters, explored, fold, listed_pairs, listed_samples
+from stemloom.operators.folding import Model, explored, fold, listed_pairs, listed_samples, observed
 from stemloom.sources import files, sinks
 
 
@@ -29,6 +28,7 @@ def arguments() -> argparse.ArgumentParser:
     f.add_argument("-b", "--beam", type=int, default=100, help="0 for an exact search")
     f.add_argument("-e", "--energy-model", type=int, choices=[1, 2], default=2, help="1: the set of --parameters; 2: the built-in one")
     f.add_argument("--parameters", help="energy file of the 2.0 text format")
+    f.add_argument("--small-loops", help="CSV of loop, t1, t2, a, b, c, d, energy with a header: 1x1, 1x2 and 2x2 internal loops")
     f.add_argument("--substitutions", help="CSV of max_bin, min_bin, k, l, value with a header")
     f.add_argument("-p", "--partition", action="store_true")
     f.add_argument("-s", "--sample", type=int, default=0)
@@ -76,35 +76,41 @@ def folding(spark: SparkSession, a: argparse.Namespace) -> None:
         from stemloom.operators.folding import substitution_tables
 
         tables = substitution_tables(spark.read.csv(a.substitutions, header=True, schema="max_bin int, min_bin int, k int, l int, value double"))
-    m = Model(a.beam, a.cutoff, a.beta, a.delta, a.gamma, a.threshknot_threshold, a.multi_approx, not a.non_lazy, parameters=Path(a.parameters).read_text() if a.parameters else None, tables=tables)
-    paths = a.paths
-    if not paths:
-        kept = tempfile.NamedTemporaryFile("w", suffix=".fasta", delete=False)  # a command line's input, not a cluster's
-        kept.write(sys.stdin.read())
-        kept.close()
-        paths = [kept.name]
-    msa = files.read_msa(spark, paths).withColumn("msa", files.base_name("msa"))
-    began = time.time()
+    loops = None
+    if a.small_loops:
+        rows = spark.read.csv(a.small_loops, header=True, schema="loop string, t1 int, t2 int, a int, b int, c int, d int, energy int").dropDuplicates(["loop", "t1", "t2", "a", "b", "c", "d"])
+        loops = tuple(tuple(r) for r in rows.collect())  # at most about 50,000, by its keys
+    m = Model(a.beam, a.cutoff, a.beta, a.delta, a.gamma, a.threshknot_threshold, a.multi_approx, not a.non_lazy, parameters=Path(a.parameters).read_text() if a.parameters else None, loops=loops, tables=tables)
+    if a.paths:
+        msa = files.read_msa(spark, a.paths).withColumn("msa", files.base_name("msa"))
+    else:  # one alignment that is typed in: its text goes to the executors as a row
+        typed = spark.createDataFrame([("standard input", sys.stdin.read())], "file string, value string")
+        msa = files.alignment_rows(files.split_lines(typed))
+    began, watched = time.time(), Observation("sweep") if a.verbose else None
+    in_order = files.natural("msa")
     if a.verbose:
         print(" ".join(f"{k}={v}" for k, v in vars(a).items() if k != "paths"))
     if a.sample:
-        show(listed_samples(explored(msa, m, structures=False, probabilities=False, count=a.sample, seed=a.seed)).orderBy("msa", "sample"), "structure")
+        found = explored(msa, m, structures=False, probabilities=False, count=a.sample, seed=a.seed, watched=watched).persist()
+        show(listed_samples(found).orderBy(in_order, "sample"), "structure")
     elif a.partition:
-        found = explored(msa, m, probabilities=bool(a.bpp_file)).persist()
+        found = explored(msa, m, probabilities=bool(a.bpp_file), watched=watched).persist()
         title = F.when(F.col("pmcc").isNull(), F.format_string("(gamma = %.2f)", F.col("gamma"))).otherwise(F.format_string("(pmcc = %.4f, gamma = %.2f)", F.col("pmcc"), F.col("gamma")))
-        show(found.orderBy("msa"), F.format_string("Free Energy of Ensemble: %.2f kcal/mol\n\nThreshKnot Structure:\n%s\n\nCentroid Structure %s:\n%s\n\nMEA Structure (gamma = %.2f):\n%s", F.col("printed"), F.col("threshknot"), title, F.col("centroid"), F.col("gamma"), F.col("mea")))
+        show(found.orderBy(in_order), F.format_string("Free Energy of Ensemble: %.2f kcal/mol\n\nThreshKnot Structure:\n%s\n\nCentroid Structure %s:\n%s\n\nMEA Structure (gamma = %.2f):\n%s", F.col("printed"), F.col("threshknot"), title, F.col("centroid"), F.col("gamma"), F.col("mea")))
         if a.bpp_file:
             sinks.write_probabilities(listed_pairs(found), a.bpp_file)
         for path, column, header, mode in ((a.mea_file, "mea", "MEA Structure (gamma = {gamma}):", "append"), (a.threshknot_file, "threshknot", None, "overwrite"), (a.centroid_file, "centroid", "Centroid Structure {pmcc}(gamma = {gamma}):", "overwrite")):
             if path:
                 sinks.write_structures(found, column, path, header, mode)
-        found.unpersist()
     else:
-        found = fold(msa, m)
-        show(found.orderBy("msa"), sinks.report(found))
-    if a.verbose:
+        found = fold(msa, m, watched).persist()
+        show(found.orderBy(in_order), sinks.report(found))
+    if watched:
+        found.count()  # of what is held; the metrics are those of the run that filled it
         print(f"{time.time() - began:.2f} seconds")
-        show(counters(msa, m, bool(a.sample or a.partition)).orderBy("msa", "chart"), F.format_string("%s: %d states reached, %d kept, %d edges", "chart", "reached", "kept", "edges"))
+        for chart, reached, kept, edges in observed(watched):
+            print(f"{chart}: {reached} states reached, {kept} kept, {edges} edges")
+    found.unpersist()
 
 
 def show(df: DataFrame, text) -> None:

@@ -59,6 +59,10 @@ class Columns(NamedTuple):
     after: np.ndarray
 
 
+#: The charts of states, as counters name them.
+CHARTS = ("C", "H", "M", "M2", "Multi", "P")
+
+
 class Sweep:
     def __init__(self, a: Alignment, pairs: Pairable, energies: Energies, beam: int = 100, summed: bool = False, by_columns: bool = False, floor: float | None = -20.0) -> None:
         self.a, self.pairs, self.e, self.beam, self.summed, self.floor = a, pairs, energies, beam, summed, floor

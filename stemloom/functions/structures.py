@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 
+from stemloom.functions.matching import greatest_matching
+
 KINDS = ("()", "[]", "{}", "<>")
 #: Columns between the ends of a pair, at least; weights of pairs among which the one of best correlation is taken.
 TURN = 3
@@ -155,27 +157,7 @@ def matching(predicted: list[tuple[int, int]], gold: list[tuple[int, int]], slip
     """A greatest matching of predicted pairs to gold pairs of their own; with slip, one end may be off by one."""
     known = set(gold)
     moves = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)] if slip else [(0, 0)]
-    near = {(i, j): [(i + a, j + b) for a, b in moves if (i + a, j + b) in known] for i, j in predicted}
-    of_gold: dict[tuple[int, int], tuple[int, int]] = {}
-    of_pair: dict[tuple[int, int], tuple[int, int]] = {}
-    for start in near:
-        reached: dict[tuple[int, int], tuple[int, int]] = {}
-        todo, end = [start], None
-        while todo and end is None:
-            pair = todo.pop()
-            for g in near[pair]:
-                if g not in reached:
-                    reached[g] = pair
-                    if g not in of_gold:
-                        end = g
-                        break
-                    todo.append(of_gold[g])
-        while end is not None:  # each pair on the way moves to the gold pair after it
-            pair = reached[end]
-            before = of_pair.get(pair)
-            of_pair[pair], of_gold[end] = end, pair
-            end = before
-    return of_pair
+    return greatest_matching(((i, j), (i + a, j + b)) for i, j in predicted for a, b in moves if (i + a, j + b) in known)
 
 
 def scores(length: int, gold: tuple[list, list], predicted: tuple[list, list], slip: bool = False, hidden: set[int] | None = None) -> tuple[float, float, float, int]:

@@ -79,7 +79,7 @@ def pair_identities(msa: DataFrame, block: int = 256) -> DataFrame:
     unequal lengths raise an error.
     """
     sizes = msa.groupBy("fam").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = msa.select("fam", "seq", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sizes), "fam")  # a row an alignment
+    rows = msa.select("fam", "seq", F.coalesce("text", F.lit("")).alias("text")).join(sizes, "fam")
     own = rows.withColumn("own", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int"))
     dealt = own.select("fam", "seq", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     kinds = {f.name: f.dataType.simpleString() for f in msa.schema}

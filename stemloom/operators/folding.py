@@ -17,11 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stemloom.functions import structures as st
-from stemloom.functions.beam import KT, Sweep
+from stemloom.functions.beam import CHARTS, KT, Sweep
 from stemloom.functions.conservation import alignment, pairable, substitution
 from stemloom.functions.energies import Energies, builtin, from_par
 
@@ -31,7 +31,7 @@ TASKS_PER_CORE = 4
 
 @dataclass(frozen=True)
 class Model:
-    """``parameters``: text of an energy file, the built-in set if None. ``tables``: substitution matrices by identity bins, see ``substitution_tables``. ``lazy`` and ``floor``: see ``beam``. ``tasks``: how many the alignments are dealt over."""
+    """``parameters``: text of an energy file, the built-in set if None. ``loops``: entries of the built-in set's small internal loops, see ``Energies.listing``. ``tables``: substitution matrices by identity bins, see ``substitution_tables``. ``lazy`` and ``floor``: see ``beam``. ``tasks``: how many the alignments are dealt over."""
 
     beam: int = 100
     cutoff: float = -40
@@ -44,10 +44,12 @@ class Model:
     floor: float | None = -20.0
     tasks: int | None = None
     parameters: str | None = None
+    loops: tuple[tuple, ...] | None = None
     tables: dict[tuple[int, int], list[list[float]]] | None = None
 
     def energies(self) -> Energies:
-        return builtin() if self.parameters is None else from_par(self.parameters)
+        own = builtin() if self.parameters is None else from_par(self.parameters)
+        return own if self.loops is None else own.listing(self.loops)
 
 
 def substitution_tables(rows: DataFrame) -> dict[tuple[int, int], list[list[float]]]:
@@ -65,11 +67,19 @@ def _swept(table: pa.Table, m: Model, energies: Energies, summed: bool) -> tuple
     return Sweep(a, pairs, energies, m.beam, summed, m.by_columns, m.floor), pairs
 
 
-def _each(msa: DataFrame, m: Model, summed: bool, schema: str, rows: Callable[[object, Sweep, object], dict[str, list]]) -> DataFrame:
-    """Alignments are few rows of much work, so their number of tasks is set here: by their bytes they would all be put into one."""
+COUNTED = ("reached", "kept", "edges")
+
+
+def _each(msa: DataFrame, m: Model, summed: bool, schema: str, rows: Callable[[object, Sweep, object], dict[str, list]], watched: Observation | None = None) -> DataFrame:
+    """Alignments are few rows of much work, so their number of tasks is set here: by their bytes they would all be put into one.
+
+    ``watched`` gets the sums of the sweeps' counters, named by chart and count, from the run that makes the rows.
+    """
     spark = msa.sparkSession
     kind = msa.schema["msa"].dataType
     whole = f"msa {kind.simpleString()}, {schema}"
+    if watched:
+        whole += "".join(f", `{x}.{c}` long" for x in CHARTS for c in COUNTED)
     tasks = m.tasks or TASKS_PER_CORE * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     counted = msa.select("msa", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).groupBy("msa", "text").agg(F.count("*").alias("n")).repartition(tasks, "msa")
     shape = spark.createDataFrame([], whole).schema
@@ -77,18 +87,32 @@ def _each(msa: DataFrame, m: Model, summed: bool, schema: str, rows: Callable[[o
 
     arrow = to_arrow_schema(shape)
 
+    watched_too = watched is not None
+
     def run(table: pa.Table) -> pa.Table:
         key = table.column("msa")[0].as_py()
         sweep, pairs = _swept(table, m, m.energies(), summed)
         out = rows(key, sweep, pairs)
         n = len(next(iter(out.values())))
+        if watched_too:
+            out |= {f"{x}.{c}": [sweep.seen[x][k] for _ in range(n)] for x in CHARTS for k, c in enumerate(COUNTED)}
         return pa.Table.from_pydict({"msa": [key] * n} | out, arrow)
 
-    return counted.groupBy("msa").applyInArrow(run, whole)
+    found = counted.groupBy("msa").applyInArrow(run, whole)
+    if watched is None:
+        return found
+    names = [f"{x}.{c}" for x in CHARTS for c in COUNTED]
+    return found.observe(watched, *[F.sum(f"`{c}`").alias(c) for c in names]).drop(*[F.col(f"`{c}`") for c in names])
+
+
+def observed(watched: Observation) -> list[tuple[str, int, int, int]]:
+    """(chart, reached, kept, edges) summed over the alignments of a run that is done."""
+    found = watched.get
+    return [(x, *(int(found[f"{x}.{c}"] or 0) for c in COUNTED)) for x in CHARTS if found.get(f"{x}.reached")]
 
 
-def fold(msa: DataFrame, m: Model = Model()) -> DataFrame:
-    """(msa, structure, mfe, energy, covariation) in kcal/mol; mfe is the sum of the two parts."""
+def fold(msa: DataFrame, m: Model = Model(), watched: Observation | None = None) -> DataFrame:
+    """(msa, structure, mfe, energy, covariation) in kcal/mol; mfe is the sum of the two parts. ``watched``: see ``observed``."""
 
     def rows(key: object, s: Sweep, pairs) -> dict[str, list]:
         found = s.structure()
@@ -96,7 +120,7 @@ def fold(msa: DataFrame, m: Model = Model()) -> DataFrame:
         covariation = -float(pairs.of(i, j).sum()) / 100
         return {"structure": [st.brackets(s.length, found)], "mfe": [-s.total / 100], "energy": [-s.total / 100 - covariation], "covariation": [covariation]}
 
-    return _each(msa, m, False, "structure string, mfe double, energy double, covariation double", rows)
+    return _each(msa, m, False, "structure string, mfe double, energy double, covariation double", rows, watched)
 
 
 def counters(msa: DataFrame, m: Model = Model(), summed: bool = True) -> DataFrame:
@@ -112,7 +136,7 @@ def counters(msa: DataFrame, m: Model = Model(), summed: bool = True) -> DataFra
 ENSEMBLE = ("ensemble", "printed", "gamma", "pmcc", "threshknot", "centroid", "mea")
 
 
-def explored(msa: DataFrame, m: Model = Model(), structures: bool = True, probabilities: bool = True, count: int = 0, seed: int = 0) -> DataFrame:
+def explored(msa: DataFrame, m: Model = Model(), structures: bool = True, probabilities: bool = True, count: int = 0, seed: int = 0, watched: Observation | None = None) -> DataFrame:
     """All that one sweep of an alignment tells: the columns of ``ensemble``, ``pairs`` of (i, j, prob) and ``samples``; what isn't asked for is null.
 
     ``printed`` is the energy as tools of this kind print it, per row and in units of kT. gamma <= 0 takes the gamma of best expected correlation (pmcc), else pmcc is null.
@@ -144,7 +168,7 @@ def explored(msa: DataFrame, m: Model = Model(), structures: bool = True, probab
             out["samples"] = [texts]
         return out
 
-    return _each(msa, m, True, "ensemble double, printed double, gamma double, pmcc double, threshknot string, centroid string, mea string, pairs array<struct<i: int, j: int, prob: double>>, samples array<string>", rows)
+    return _each(msa, m, True, "ensemble double, printed double, gamma double, pmcc double, threshknot string, centroid string, mea string, pairs array<struct<i: int, j: int, prob: double>>, samples array<string>", rows, watched)
 
 
 def listed_pairs(found: DataFrame) -> DataFrame:
@@ -199,4 +223,4 @@ def projections(msa: DataFrame, folded: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"msa {kinds['msa']}, seq {kinds['seq']}, structure string")
 
 
-__all__ = ["Model", "counters", "ensemble", "explored", "listed_pairs", "listed_samples", "evaluated", "fold", "pair_probabilities", "projections", "samples", "substitution_tables"]
+__all__ = ["Model", "counters", "ensemble", "explored", "listed_pairs", "listed_samples", "evaluated", "fold", "observed", "pair_probabilities", "projections", "samples", "substitution_tables"]

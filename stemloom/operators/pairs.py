@@ -19,6 +19,8 @@ LETTERS = "ACGU"
 KT = 61.63207755
 FAST_LOW, FAST_HIGH, FAST_TOP = -9.91152, 46.052, 1e20
 _COUNTS = [f"f{k}" for k in range(8)]
+#: Keys whose states a task holds at once; columns of an alignment that are counted at once.
+STATES, BLOCK = 200_000, 1024
 
 
 def pair_code(a: str, b: str) -> Column:
@@ -55,9 +57,9 @@ def _histogram(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def pair_counts(msa: DataFrame, block: int | None = None) -> DataFrame:
     """(fam, i, j, n, f0 … f7): how many rows of an alignment show each pair code in columns i < j.
 
-    Rows are counted where they are read, a batch at a time, and the counts are summed with partial sums: no row is
-    shuffled and no task holds an alignment. For wide alignments, ``block`` deals pairs of blocks of so many columns over
-    tasks first, so that a batch's counts are block by block columns at most.
+    Rows are counted where they are read, a batch at a time and BLOCK by BLOCK columns at a time, and the counts are summed
+    with partial sums: no row is shuffled, no task holds an alignment or the counts of all its columns. ``block`` deals
+    pairs of blocks of so many columns over tasks first, for alignments whose pairs are much work for few rows.
     """
     kind = msa.schema["fam"].dataType.simpleString()
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -78,11 +80,14 @@ def pair_counts(msa: DataFrame, block: int | None = None) -> DataFrame:
             keys = t.select(["fam", "a", "b"]).append_column("at", pa.array(np.arange(t.num_rows)))
             for g in keys.group_by(["fam", "a", "b"]).aggregate([("at", "list")]).to_pylist():
                 own = t.take(pa.array(g["at_list"]))
-                counts = _histogram(*(_codes(own.column(c).to_pylist()) for c in ("left", "right")))
-                i, j = np.meshgrid(np.arange(counts.shape[1]) + g["a"], np.arange(counts.shape[2]) + g["b"], indexing="ij")
-                use = i < j
-                size = int(use.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([g["fam"]] * size, batch.schema.field("fam").type), pa.array(i[use].astype(np.int32)), pa.array(j[use].astype(np.int32)), *(pa.array(c[use]) for c in counts)], names=["fam", "i", "j", *_COUNTS])
+                left, right = (_codes(own.column(c).to_pylist()) for c in ("left", "right"))
+                for x, y in ((x, y) for x in range(0, left.shape[1], BLOCK) for y in range(0, right.shape[1], BLOCK)):
+                    i, j = np.meshgrid(np.arange(x, min(x + BLOCK, left.shape[1])) + g["a"], np.arange(y, min(y + BLOCK, right.shape[1])) + g["b"], indexing="ij")
+                    use = i < j
+                    size = int(use.sum())
+                    if size:
+                        counts = _histogram(left[:, x : x + BLOCK], right[:, y : y + BLOCK])
+                        yield pa.RecordBatch.from_arrays([pa.array([g["fam"]] * size, batch.schema.field("fam").type), pa.array(i[use].astype(np.int32)), pa.array(j[use].astype(np.int32)), *(pa.array(c[use]) for c in counts)], names=["fam", "i", "j", *_COUNTS])
 
     found = parts.mapInArrow(run, f"fam {kind}, i int, j int, " + ", ".join(f"{c} long" for c in _COUNTS))
     whole = found.groupBy("fam", "i", "j").agg(*[F.sum(c).alias(c) for c in _COUNTS])
@@ -99,16 +104,23 @@ def differing_bases() -> list[list[float]]:
     return [[float(sum(x != y for x, y in zip(PAIRS.get(k, ""), PAIRS.get(m, ""), strict=False))) for m in range(7)] for k in range(7)]
 
 
-def conservation_score(matrix: list[list[float]] | None = None, beta: float = 1.2, delta: float = 0.1) -> Column:
-    """Covariation of the pairs that the rows show, less what the rows that show none cost; over the counts of ``pair_counts``."""
-    m = matrix or differing_bases()
+def _lit(x: float | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def conservation_score(matrix: list[list[float]] | Column | None = None, beta: float = 1.2, delta: float = 0.1) -> Column:
+    """Covariation of the pairs that the rows show, less what the rows that show none cost; over the counts of ``pair_counts``.
+
+    A matrix in a column is an array of 7 times 7 values, as ``substitutions.matrices`` gives it for each alignment.
+    """
+    m = [[matrix[7 * k + n] for n in range(7)] for k in range(7)] if isinstance(matrix, Column) else matrix or differing_bases()
     f = {k: F.col(f"f{k}").cast("double") for k in PAIRS}
     bonus = F.lit(0.0)
     for k in PAIRS:
-        bonus += F.lit(m[k][k]) * f[k] * (f[k] - 1) / 2
+        bonus += _lit(m[k][k]) * f[k] * (f[k] - 1) / 2
         for other in PAIRS:
             if other > k:
-                bonus += F.lit(m[k][other]) * f[k] * f[other]
+                bonus += _lit(m[k][other]) * f[k] * f[other]
     cost = 100.0 * delta * (F.col("f0") + 0.25 * F.col("f7"))
     return F.lit(beta) * (100.0 * bonus / F.col("n") - cost) / F.col("n")
 
@@ -152,8 +164,8 @@ def enclosing(pairs: DataFrame, upto: DataFrame, span: int = 30) -> DataFrame:
     meets the bucket of its own and the one before: an equi-join, in which no alignment is one key.
     """
     n = upto.groupBy("fam").agg(F.max("n").alias("n"))
-    inner = pairs.select("fam", "i", "j").join(_bases(upto, "i", 1), ["fam", "i"]).join(_bases(upto, "j", 0), ["fam", "j"]).join(F.broadcast(n), "fam")  # a row an alignment
-    outer = pairs.select("fam", F.col("i").alias("p"), F.col("j").alias("q")).join(_bases(upto, "p", 0), ["fam", "p"]).join(_bases(upto, "q", 1), ["fam", "q"]).join(F.broadcast(n), "fam")
+    inner = pairs.select("fam", "i", "j").join(_bases(upto, "i", 1), ["fam", "i"]).join(_bases(upto, "j", 0), ["fam", "j"]).join(n, "fam")
+    outer = pairs.select("fam", F.col("i").alias("p"), F.col("j").alias("q")).join(_bases(upto, "p", 0), ["fam", "p"]).join(_bases(upto, "q", 1), ["fam", "q"]).join(n, "fam")
     bucket = lambda c: F.floor(F.col(c) / (span * F.col("n")))
     inner = inner.select("*", F.explode(F.array(bucket("i_bases") - 1, bucket("i_bases"))).alias("bucket"))
     outer = outer.withColumn("bucket", bucket("p_bases")).drop("n")
@@ -166,9 +178,9 @@ def multiloop_openings(inside: DataFrame, pairs: DataFrame, upto: DataFrame, spa
     """(fam, i, j, p, q): for each of ``inside`` (fam, i, j), all p before i with at most ``span`` bases a row between, and the first q after j that pairs with p."""
     n = upto.groupBy("fam").agg(F.max("n").alias("n"))
     bucket = lambda c: F.floor(F.col(c) / (span * F.col("n")))
-    own = inside.select("fam", "i", "j").join(_bases(upto, "i", 1), ["fam", "i"]).join(F.broadcast(n), "fam")  # a row an alignment
+    own = inside.select("fam", "i", "j").join(_bases(upto, "i", 1), ["fam", "i"]).join(n, "fam")
     own = own.select("*", F.explode(F.array(bucket("i_bases") - 1, bucket("i_bases"))).alias("bucket"))
-    columns = _bases(upto, "p", 0).join(F.broadcast(n), "fam").withColumn("bucket", bucket("p_bases")).drop("n")
+    columns = _bases(upto, "p", 0).join(n, "fam").withColumn("bucket", bucket("p_bases")).drop("n")
     opened = own.join(columns, ["fam", "bucket"]).where((F.col("p") < F.col("i")) & (F.col("i_bases") - F.col("p_bases") <= span * F.col("n"))).select("fam", "i", "j", "p")
     partners = pairs.groupBy(F.col("fam"), F.col("i").alias("p")).agg(F.sort_array(F.collect_list("j")).alias("qs"))  # at most the columns of an alignment
     first = opened.join(partners, ["fam", "p"]).withColumn("q", F.get(F.filter("qs", lambda q: q > F.col("j")), F.lit(0)))
@@ -202,6 +214,19 @@ def beam(pairs: DataFrame, k: int, rank: Column | None = None) -> DataFrame:
     return pairs.withColumn("_place", F.rank().over(w)).where(F.col("_place") <= k + 1).drop("_place")
 
 
+def with_prefix(pairs: DataFrame) -> DataFrame:
+    """(fam, i, j, pscore, prefix): with the greatest score of what ends before a state begins, 0 if nothing does: what a beam ranks states by, besides their own score.
+
+    One row an end column is sorted, not one a state.
+    """
+    along = Window.partitionBy("fam").orderBy("col").rowsBetween(Window.unboundedPreceding, -1)
+    ends = pairs.groupBy("fam", F.col("j").alias("col")).agg(F.max("pscore").alias("most"))
+    begins = pairs.select("fam", F.col("i").alias("col")).distinct()
+    both = ends.join(begins.withColumn("_begins", F.lit(True)), ["fam", "col"], "full_outer")
+    before = both.select("fam", F.col("col").alias("i"), F.coalesce(F.max("most").over(along), F.lit(0.0)).alias("prefix"), "_begins").where("_begins").drop("_begins")
+    return pairs.join(before, ["fam", "i"]).select("fam", "i", "j", "pscore", "prefix")
+
+
 def placed(pairs: DataFrame) -> DataFrame:
     """(fam, i, j, place): states of an end column by score, ties to the greater i."""
     w = Window.partitionBy("fam", "j").orderBy(F.col("pscore").desc(), F.col("i").desc())
@@ -214,10 +239,45 @@ def best_states(pairs: DataFrame) -> DataFrame:
     return best.select("fam", "j", (-F.col("b.less")).alias("i"), F.col("b.pscore").alias("pscore"))
 
 
+def _met(t: pa.Table, keys: list[str]) -> pa.Table:
+    """States (keys, most, share) of one key become one: the greatest value, and the sum of exponentials as a multiple of its own."""
+    groups = t.select(keys).append_column("_at", pa.array(np.arange(t.num_rows))).group_by(keys).aggregate([("_at", "list")])
+    lists = groups.column("_at_list").combine_chunks()
+    at, first = lists.flatten().to_numpy(), lists.offsets.to_numpy()[:-1]
+    value, share = t.column("most").to_numpy()[at], t.column("share").to_numpy()[at]
+    most = np.maximum.reduceat(value, first) if len(first) else value
+    own = np.repeat(most, np.diff(np.append(first, len(at))))
+    with np.errstate(invalid="ignore"):
+        scaled = np.where(value == own, share, share * np.exp(value - own))
+    return groups.select(keys).append_column("most", pa.array(most)).append_column("share", pa.array(np.add.reduceat(scaled, first) if len(first) else scaled))
+
+
 def log_sum(values: DataFrame, value: str, *keys: str) -> DataFrame:
-    """keys, lse: the logarithm of the sum of exponentials, from the greatest of each group."""
-    top = values.groupBy(*keys).agg(F.max(value).alias("_m"))
-    return values.join(top, list(keys)).groupBy(*keys, "_m").agg(F.sum(F.exp(F.col(value) - F.col("_m"))).alias("_s")).select(*keys, (F.col("_m") + F.log("_s")).alias("lse"))
+    """keys, lse: the logarithm of the sum of exponentials; null where a group has no value.
+
+    The sum is one state that merges: the greatest value, and the sum as a multiple of its exponential. Each task brings
+    the rows of a key down to a state, at most STATES keys at a time, and the states meet in one shuffle.
+    """
+    kinds = ", ".join(f"`{k}` {values.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            x = batch.column(len(keys))
+            known = np.asarray(x.is_valid())
+            most = np.where(known, x.fill_null(0).to_numpy(zero_copy_only=False), -np.inf)
+            own = pa.table([*batch.columns[: len(keys)], pa.array(most), pa.array(known.astype(float))], names=[*keys, "most", "share"])
+            held = _met(own if held is None else pa.concat_tables([held, own]), list(keys))
+            if held.num_rows >= STATES:
+                yield from held.combine_chunks().to_batches()
+                held = None
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    states = values.select(*keys, F.col(value).cast("double")).mapInArrow(run, f"{kinds}, most double, share double")
+    whole = states.groupBy(*keys).agg(F.max("most").alias("_m"), F.collect_list(F.struct("most", "share")).alias("_s"))  # a few states a task
+    total = F.aggregate("_s", F.lit(0.0), lambda acc, x: acc + x.share * F.when(x.most == F.col("_m"), 1.0).otherwise(F.exp(x.most - F.col("_m"))))
+    return whole.select(*keys, F.when(total > 0, F.col("_m") + F.log(total)).when(F.isnan("_m"), F.col("_m")).alias("lse"))
 
 
 def log_plus_one(x: Column) -> Column:

@@ -179,9 +179,34 @@ def rolled_up(values: DataFrame, kind: Column, value: str = "prob", each: str =
 def empirical(pairs: DataFrame, structures: DataFrame) -> DataFrame:
     """fam, i, j, prob: the share of an alignment's structures (fam, seq) that have a pair (fam, seq, i, j)."""
     total = structures.select("fam", "seq").distinct().groupBy("fam").agg(F.count("*").alias("total"))
-    return pairs.groupBy("fam", "i", "j").agg(F.count("*").alias("n")).join(F.broadcast(total), "fam").select("fam", "i", "j", (F.col("n") / F.col("total")).alias("prob"))  # a row an alignment
+    return pairs.groupBy("fam", "i", "j").agg(F.count("*").alias("n")).join(total, "fam").select("fam", "i", "j", (F.col("n") / F.col("total")).alias("prob"))
 
 
 def covariation_energy(pairs: DataFrame, scores: DataFrame) -> DataFrame:
     """fam, energy, pairs: the conservation part of a structure's energy, in kcal/mol."""
     return pairs.select("fam", "i", "j").join(scores, ["fam", "i", "j"]).groupBy("fam").agg((F.sum(-F.col("pscore")) / 100).alias("energy"), F.count("*").alias("pairs"))
+
+
+def expected_correlations(bpp: DataFrame, spine: DataFrame, gammas: tuple[float, ...] = st.GAMMAS) -> DataFrame:
+    """(fam, gamma, pairs, hits, correlation): for each weight of the grid, how many pairs have a probability over 1 / (gamma + 1), how many of these are expected to be right, and the expected correlation.
+
+    All weights are counted in one pass over the probabilities, with partial sums; the grid is laid out over the counts. The
+    correlation is 0 where one of its factors isn't positive.
+    """
+    width = spine.select("fam", "col").distinct().groupBy("fam").agg(F.count("*").alias("width"))
+    far = bpp.where(F.col("j") >= F.col("i") + APART)
+    over = lambda g: F.col("prob") > 1 / (g + 1)
+    sums = [x for k, g in enumerate(gammas) for x in (F.sum(over(g).cast("long")).alias(f"n{k}"), F.sum(F.when(over(g), F.col("prob")).otherwise(0.0)).alias(f"h{k}"))]
+    counted = width.join(far.groupBy("fam").agg(F.sum("prob").alias("mass"), *sums), "fam", "left").fillna(0)
+    grid = F.explode(F.array(*[F.struct(F.lit(float(g)).alias("gamma"), F.col(f"n{k}").alias("pairs"), F.col(f"h{k}").alias("hits")) for k, g in enumerate(gammas)]))
+    each = counted.select("fam", "width", "mass", grid.alias("g")).select("fam", "width", "mass", "g.*")
+    extra, missed = F.col("pairs") - F.col("hits"), F.col("mass") - F.col("hits")
+    rest = F.col("width") * F.floor((F.col("width") - 1) / 2) - F.col("pairs") - F.col("mass") + F.col("hits")
+    square = F.col("pairs") * F.col("mass") * (rest + extra) * (rest + missed)
+    return each.select("fam", "gamma", "pairs", "hits", F.when(square > 0, (F.col("hits") * rest - extra * missed) / F.sqrt(square)).otherwise(0.0).alias("correlation"))
+
+
+def best_gammas(correlations: DataFrame) -> DataFrame:
+    """(fam, gamma, correlation) of the greatest correlation of ``expected_correlations``, ties to the larger gamma; null where none is over 0."""
+    best = F.max(F.when(F.round("correlation", 12) > 0, F.struct(F.round("correlation", 12).alias("correlation"), "gamma"))).alias("b")
+    return correlations.groupBy("fam").agg(best).select("fam", F.col("b.gamma").alias("gamma"), F.col("b.correlation").alias("correlation"))

@@ -1,7 +1,7 @@
 """All queries of the library over the driver's tables, and SQL for DuckDB that says what they must return.
 
 The queries call the operators on alignments derived from documents; the SQL is
-written apart, in ``twins`` and ``file_twins``.
+written apart, in ``twins`` and ``step_twins``.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stemloom.operators import columns as C
 from stemloom.operators import pairs as P
 from stemloom.operators import probabilities as B
-from stemloom.plans import files, folding, twins
+from stemloom.plans import files, folding, step_twins, steps, twins
 from stemloom.sources.alignments import WIDTH, cells_of, document_msa, nation_msa
 
 #: Probabilities of the derived alignments are small; partners need this much.
@@ -26,6 +26,7 @@ class Inputs:
     """Relations that several queries start from."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
         self.msa, self.small = document_msa(spark, sf_dir), nation_msa(spark, sf_dir)
 
     @property
@@ -166,8 +167,9 @@ def _query(f: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], Da
     return lambda spark, sf_dir: f(Inputs(spark, sf_dir))
 
 
-QUERIES = {name: _query(f) for name, f in OPERATORS.items()} | files.QUERIES | folding.QUERIES
+QUERIES = {name: _query(f) for name, f in (OPERATORS | steps.OPERATORS).items()} | files.QUERIES | folding.QUERIES
 
+RELATIONS = twins.RELATIONS | step_twins.RELATIONS
 _NAME = re.compile(r"\{(\w+)\}")
 
 
@@ -175,13 +177,16 @@ def _steps(text: str) -> list[str]:
     """The relations that a text needs, each after those it needs itself."""
     out: list[str] = []
     for name in _NAME.findall(text):
-        out += [x for x in [*_steps(twins.RELATIONS[name]), name] if x not in out]
+        out += [x for x in [*_steps(RELATIONS[name]), name] if x not in out]
     return out
 
 
 def _whole(text: str) -> str:
-    parts = [f"{n} AS ({twins.RELATIONS[n]})" for n in _steps(text)]
+    parts = [f"{n} AS {'MATERIALIZED ' * (n in step_twins.ONCE)}({RELATIONS[n]})" for n in _steps(text)]
+    begin = "WITH RECURSIVE "
+    if text.startswith(begin):
+        return _NAME.sub(r"\1", begin + "".join(f"{p}, " for p in parts) + text.removeprefix(begin))
     return _NAME.sub(r"\1", (f"WITH {', '.join(parts)} " if parts else "") + text)
 
 
-SQL: dict[str, str] = {name: _whole(text) for name, text in twins.OPERATORS.items()}
+SQL: dict[str, str] = {name: _whole(text) for name, text in (twins.OPERATORS | step_twins.OPERATORS).items()}

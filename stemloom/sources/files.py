@@ -32,6 +32,15 @@ def split_lines(whole: DataFrame) -> DataFrame:
     return whole.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("at", "line"))
 
 
+def natural(name: str | Column) -> Column:
+    """A key by which names sort with their numbers as numbers, of any length: k_2 before k_10 before k_10_2. Equal numbers with more zeros before them come later."""
+    text = F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(""))
+    runs = F.regexp_extract_all(text, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    digits = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    key = F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.struct(F.lit(0).alias("text"), F.length(digits(x)).alias("digits"), digits(x).alias("run"))).otherwise(F.struct(F.lit(1).alias("text"), F.lit(0).alias("digits"), x.alias("run"))))
+    return F.struct(key.alias("runs"), F.length(text).alias("length"), text.alias("name"))
+
+
 def base_name(file: str | Column = "file") -> Column:
     return F.substring_index(file, "/", -1)
 
