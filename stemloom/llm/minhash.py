@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemloom.llm.arrowtext import LOWER, NON_SPACE, RollingHash, chunks, grams, mix, runs
+from stemloom.llm.arrowtext import LOWER, NON_SPACE, chunks, digests, grams, mix, runs
 from stemloom.llm.components import components
 from stemloom.llm.store import cut
 
@@ -77,7 +77,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words_each: int) -> tuple[np
     """Hashes of the distinct shingles, and their rows, sorted by row."""
     low = LOWER[data]
     starts, ends, rows = runs(low, offsets, NON_SPACE)
-    words = RollingHash(low).span(starts, ends)
+    words = digests(low, starts, ends)
     size = np.bincount(rows, minlength=len(offsets) - 1)
     h, first = grams(words, rows, words_each)
     hs, rs = [h], [rows[first]]

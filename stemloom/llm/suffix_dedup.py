@@ -46,9 +46,10 @@ from stemloom.llm.store import cut
 U64 = np.uint64
 ANCHOR = 32
 BLOCK = 64
-#: Documents from which the splitters are taken, about; suffixes read from them at most.
-SAMPLE = 1_000
-SAMPLED = 200_000
+#: Documents from which the splitters are taken, about, at least, and for how many buckets there is one; suffixes read from
+#: them at most, at least, and for each bucket.
+SAMPLE, BUCKETS = 1_000, 3
+SAMPLED, EACH = 200_000, 10
 #: Blocks of one core that wait in a task before equal ones are merged; different ones that are compared there.
 MERGE = 20_000
 HOT = 100_000
@@ -130,15 +131,16 @@ def suffixes(texts: DataFrame, length: int, splitters: list[tuple[int, ...]] | N
 def splitters_of(texts: DataFrame, length: int, parts: int) -> list[tuple[int, ...]]:
     """At most parts - 1 keys that part a sample of the suffixes evenly; repeated beginnings are told apart by place.
 
-    A document is taken with a chance that grows with its bytes, as a long one alone may fill buckets, and its suffixes count
+    The sample grows with the number of buckets; where it has fewer suffixes than there are buckets, each of its suffixes
+    parts two. A document is taken with a chance that grows with its bytes, as a long one alone may fill buckets, and its suffixes count
     by the reverse of that chance.
     """
     size = F.octet_length("text")
-    each = (texts.agg(F.sum(size).alias("n")).first()["n"] or 0) / SAMPLE
+    each = (texts.agg(F.sum(size).alias("n")).first()["n"] or 0) / max(SAMPLE, parts // BUCKETS)
     chance = F.shiftrightunsigned(F.xxhash64("row", "part"), 1) / F.lit(float(1 << 63))
     some = suffixes(texts.where(chance * each <= size), length, None)
-    got = some.select(*WORDS, "row", "part", "place", F.greatest(F.lit(1.0), each / F.col("bucket")).alias("weight")).orderBy(F.xxhash64("row", "part", "place")).limit(SAMPLED).toPandas().sort_values([*WORDS, "row", "part", "place"])
-    if len(got) < parts:
+    got = some.select(*WORDS, "row", "part", "place", F.greatest(F.lit(1.0), each / F.col("bucket")).alias("weight")).orderBy(F.xxhash64("row", "part", "place")).limit(max(SAMPLED, EACH * parts)).toPandas().sort_values([*WORDS, "row", "part", "place"])
+    if not len(got):
         return []
     upto = got.pop("weight").to_numpy().cumsum()
     at = np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts)
@@ -249,13 +251,15 @@ def cores(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
         core = core[(core >= 0) & (core + span <= len(data))]
         if not len(core):
             return None
-        h1, h2 = (RollingHash(data, base).span(core, core + span) for base in (BASE_B, 0xA0761D6478BD642F))
+        raw = data.tobytes()
+        both = np.frombuffer(b"".join(hashlib.blake2b(raw[x : x + span], digest_size=16).digest() for x in core.tolist()), U64).reshape(-1, 2)
+        h1, h2 = (np.ascontiguousarray(both[:, k]) for k in (0, 1))
         padded = np.concatenate([np.zeros(BLOCK, np.uint8), data, np.zeros(BLOCK, np.uint8)])
         k = np.arange(BLOCK - 1)
         near = np.hstack([padded[core[:, None] + BLOCK - 1 - k], padded[core[:, None] + BLOCK + span + k]])
-        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(near.shape[1]), len(core), [None, pa.py_buffer(np.ascontiguousarray(near))]).cast(pa.binary())
+        beside = pa.FixedSizeBinaryArray.from_buffers(pa.binary(near.shape[1]), len(core), [None, pa.py_buffer(np.ascontiguousarray(near))]).cast(pa.binary())
         ends = [pa.array(np.minimum(x, BLOCK - 1).astype(np.int32)) for x in (core, len(data) - core - span)]
-        return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), raw, *ends, pa.array(np.full(len(core), row, np.int64)), pa.array(np.full(len(core), part, np.int64)), pa.array(core.astype(np.int32)), pa.nulls(len(core), pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), beside, *ends, pa.array(np.full(len(core), row, np.int64)), pa.array(np.full(len(core), part, np.int64)), pa.array(core.astype(np.int32)), pa.nulls(len(core), pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
