@@ -18,6 +18,7 @@ ignored; texts are scanned whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -39,26 +40,72 @@ RULES = (
     Rule("hex", 1, r"(?<![0-9a-f])[0-9a-f]{32,}", 0, 32),
 )
 SPAN = "struct<start:bigint,end:bigint,rank:int,kind:string>"
+#: Characters of a text that are cut at once.
+PART = 1024
 LEDGER = f"blob string, kind string, version int, spans array<{SPAN}>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each entry of an array of longs, what ``join`` makes of all entries before it, from 0.
+
+    Arrays grow by copying, and taking a part of one reads it all, so an array of n entries is taken in as many parts as each
+    has entries: that is about 2 n steps for each of the root of n, 160,000 entries in a second or two.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    plain = lambda x: F.aggregate(x, start, lambda acc, v: F.struct(join(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    totals = lambda parts: plain(F.transform(parts, lambda own: F.aggregate(own, F.lit(0).cast("long"), join)))
+
+    def parted(x: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x).cast("double"))).cast("int"))
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / size).cast("int")), lambda k: F.slice(x, k * size + 1, size))
+        made = _once(parts, lambda p: F.flatten(F.zip_with(p, totals(p), lambda own, before: F.transform(plain(own), lambda v: join(before, v)))))
+        return F.when(F.size(x) > 0, made).otherwise(F.array().cast("array<bigint>"))
+
+    return _once(values, parted)
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """The rule's spans: the text between matches and the matches themselves give the offsets."""
+    """The rule's spans: the text between matches and the matches themselves give the offsets, by running sums."""
     pattern = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    part = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    gaps = F.split(text, rule.pattern, -1)
-    pieces = F.zip_with(F.zip_with(gaps, whole, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))), part, lambda x, p: F.struct(x["g"].alias("g"), x["m"].alias("m"), F.length(p).alias("p")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    lengths = lambda x: F.transform(x, F.length)
+    sizes = F.zip_with(lengths(F.regexp_extract_all(text, pattern, F.lit(0))), lengths(F.regexp_extract_all(text, pattern, F.lit(rule.group))), lambda m, p: F.struct(m.cast("long").alias("m"), p.alias("p")))
+
+    def placed(found: Column) -> Column:
+        gaps = F.slice(lengths(F.split(text, rule.pattern, -1)), F.lit(1), F.size(found))
+        return _once(F.zip_with(found, gaps, lambda x, g: F.struct(g.cast("long").alias("g"), x["m"].alias("m"), x["p"].alias("p"))), offset)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["g"]
-        end = begin + x["m"]
-        found = F.array(F.struct(begin.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind")))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(x["p"] >= rule.least, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+    def offset(pieces: Column) -> Column:
+        before = _running(F.transform(pieces, lambda x: x["g"] + x["m"]), lambda a, v: a + v)
+        ends = F.zip_with(pieces, before, lambda x, b: F.struct((b + x["g"]).alias("start"), (b + x["g"] + x["m"]).alias("end"), x["p"].alias("p")))
+        long = F.filter(ends, lambda x: x["p"] >= rule.least)
+        return F.transform(long, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind")))
 
-    found = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    return F.when(F.coalesce(text.rlike(rule.pattern), F.lit(False)), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(F.coalesce(text.rlike(rule.pattern), F.lit(False)), _once(sizes, placed)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _cleared(text: Column, spans: Column) -> Column:
+    """The text with its sorted spans replaced: each begins at or after the end of all before it, or is one with them.
+
+    The text is taken in parts of PART characters, so a piece costs its own length and not its distance from the begin.
+    """
+
+    def piece(parts: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / PART).cast("int"), F.floor((b - 1) / PART).cast("int")
+        some = F.when(first == last, F.get(parts, first)).otherwise(F.array_join(F.slice(parts, first + 1, last - first + 1), ""))
+        return F.when(b > a, F.substring(some, (a % PART).cast("int") + 1, (b - a).cast("int"))).otherwise("")
+
+    def joined(parts: Column, own: Column) -> Column:
+        kept = F.filter(own, lambda x: x["s"]["start"] >= x["reach"])
+        before = F.transform(kept, lambda x: F.concat(piece(parts, x["reach"], x["s"]["start"]), F.lit("["), x["s"]["kind"], F.lit("]")))
+        return F.concat(F.array_join(before, ""), piece(parts, F.array_max(F.transform(own, lambda x: x["s"]["end"])), F.length(text)))
+
+    reached = F.zip_with(spans, _running(F.transform(spans, lambda s: s["end"]), lambda a, v: F.greatest(a, v)), lambda s, r: F.struct(s.alias("s"), r.alias("reach")))
+    return _once(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), lambda parts: _once(reached, lambda own: joined(parts, own)))
 
 
 def versions_of(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
@@ -89,8 +136,9 @@ def _hits(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     current = F.lit(False)
     for r in rules:
         current |= (F.col("kind") == r.kind) & (F.col("version") == r.version)
-    hits = ledger.where(current & (F.size("spans") > 0)).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))  # a blob has a row a rule
-    return hits.select("blob", F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans"))
+    of = lambda r: F.first(F.when(F.col("kind") == r.kind, F.col("spans")), ignorenulls=True)  # noqa: E731  equal rows count once
+    hits = ledger.where(current & (F.size("spans") > 0)).groupBy("blob").agg(F.flatten(F.filter(F.array(*map(of, rules)), lambda x: x.isNotNull())).alias("spans"))
+    return hits.select("blob", F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans"))
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -106,14 +154,7 @@ def redacted(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES
     have any names: they travel in one struct.
     """
     text = F.col("own.text").cast("string")
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        clear = F.substring(text, acc["at"].cast("int"), (s["start"] + 1 - acc["at"]).cast("int"))
-        out = F.when(s["start"] + 1 >= acc["at"], F.concat(acc["out"], F.array(F.concat(clear, F.lit("["), s["kind"], F.lit("]"))))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), out.alias("out"))
-
-    body = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"].cast("int"), F.length(text))))
+    body = _cleared(text, F.col("spans"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("blob"))
     found = F.col("spans").isNotNull()
     made = whole.join(_hits(ledger, rules), "blob", "left").select("own", F.when(found, body).alias("clean"))
