@@ -7,9 +7,9 @@ fingerprints are looked up among the benchmark's; a hit is extended to the
 windows around it, which are compared with the benchmark's windows.
 
 The benchmark is a query set and goes to the tasks in blocks of at most
-``block_chars`` characters, whose number follows the benchmark's size; a block
-is broadcast, and documents are read once for each block. With one block (any
-usual benchmark) nothing is shuffled.
+``block_chars`` characters, equal items once, whose number follows the
+benchmark's size; a block is broadcast, and documents are read once for each
+block. With one block (any usual benchmark) nothing is shuffled.
 
 Defined results: null and empty texts have no words, no hits and no items; an
 item without words occurs nowhere; an item of fewer than ``window`` words is one
@@ -27,13 +27,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemloom.llm.arrowtext import ALNUM, LOWER, RollingHash, chunks, grams, runs
+from stemloom.llm.arrowtext import ALNUM, LOWER, chunks, digests, grams, runs
 from stemloom.llm.store import cut
 
 U64 = np.uint64
+#: Characters that an item counts besides its own.
+EACH = 20
 
 
 class Block(NamedTuple):
@@ -47,7 +49,7 @@ class Block(NamedTuple):
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = LOWER[data]
     starts, ends, rows = runs(low, offsets, ALNUM)
-    return RollingHash(low).span(starts, ends), rows
+    return digests(low, starts, ends), rows
 
 
 def winnow(gram: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
@@ -120,12 +122,24 @@ def matches(words: np.ndarray, rows: np.ndarray, block: Block, window: int, gram
 
 
 def benchmark_blocks(benchmark: DataFrame, window: int, gram: int, block_chars: int) -> Iterator[Block]:
-    """The items in blocks; a block's rows are few enough for the driver whatever the benchmark's size."""
-    items = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chars = items.agg(F.coalesce(F.sum(F.length("text") + 20), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, -(-int(chars) * 2 // block_chars)) if chars > block_chars else 1
-    for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
+    """The distinct items in blocks of at most ``block_chars`` characters, but for an item of more than half of that, which may exceed it.
+
+    An item's block follows from how many characters come before it. These are counted by range first, so no task and no
+    driver counts the items of all; a block's rows are few enough for the driver whatever the benchmark's size.
+    """
+    items = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    chars = items.agg(F.coalesce(F.sum(F.length("text") + EACH), F.lit(0)).alias("n"), F.coalesce(F.max(F.length("text") + EACH), F.lit(0)).alias("most")).first()
+    if chars["n"] <= block_chars:
+        parts = [items]
+    else:
+        # ranges of a hash, of about half a block each; a range is cut where it exceeds one
+        ranges = -(-2 * int(chars["n"]) // block_chars)
+        dealt = cut(items.withColumns({"range": F.pmod(F.xxhash64("item_id", "text"), F.lit(ranges)), "size": F.length("text") + EACH}))
+        upto = F.sum("size").over(Window.partitionBy("range").orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, -1))
+        room = block_chars - min(int(chars["most"]), block_chars // 2)  # an item that begins in a block's room ends in the block, if it is no longer than half of one
+        placed = cut(dealt.withColumn("block", F.floor(F.coalesce(upto, F.lit(0)) / room)))
+        parts = [placed.where((F.col("range") == r["range"]) & (F.col("block") == r["block"])).select("item_id", "text") for r in placed.select("range", "block").distinct().orderBy("range", "block").toLocalIterator()]
+    for part in parts:
         t = part.toArrow().combine_chunks()
         rows = t.to_batches() or [pa.RecordBatch.from_pydict({"item_id": pa.array([], t.schema.field(0).type), "text": pa.array([], pa.string())})]
         yield fingerprint_block(rows[0], window, gram)
