@@ -4,9 +4,12 @@ Each document gets counts of words, symbols, repeated lines and repeated word
 windows. Their ratios are summed up per (lang, source) in mergeable quantile
 sketches with relative-error buckets: a sketch is a table of bucket counts, so
 two sketches merge by adding, partial sums are made before the shuffle, and the
-result doesn't depend on the order of the rows. A document is dropped when a
-ratio lies beyond its group's outlier fence; the fence is joined back to the
-documents by group.
+result doesn't depend on the order of the rows. A group's quantiles set its
+fences: word length has one on either side of the median, some spreads of the
+group away; each other ratio has a rate, somewhat over an upper quantile of the
+group. The fences are joined back to the documents by group, and a document is
+dropped whose word length lies outside, or whose count exceeds what the rate
+makes expected at its length by three standard deviations of such a count.
 
 Defined results: a null or empty text has no words, fails the base rule and is
 dropped; null ``lang`` or ``source`` form groups of their own; a group's fence
@@ -24,15 +27,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemloom.llm.arrowtext import NON_SPACE, RollingHash, byte_table, chunks, grams, lengths, mix, runs
+from stemloom.llm.arrowtext import NON_SPACE, byte_table, chunks, digests, grams, lengths, mix, runs
 from stemloom.llm.store import cut
 
 SYMBOLS = byte_table([(ord(c), ord(c)) for c in "#*$%&|<>"])
 NOT_NEWLINE = byte_table([(0x0A, 0x0A)], invert=True)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Relative width of a sketch's buckets, ratios being counted in thousandths.
-GAMMA = 1.04
+GAMMA = 1.01
 METRICS = ("word_length", "symbol_ratio", "dup_line_ratio", "repeat_ratio")
+#: For each ratio its count, what that is a share of, and the quantile that sets the rate: below the share of bad documents
+#: that a group may have. Symbols fill whole documents, repeats are a few lines of many.
+RATES = {"symbol_ratio": ("n_symbols", "n_words", 0.85), "dup_line_ratio": ("n_dup_lines", "n_lines", 0.98), "repeat_ratio": ("n_repeat_words", "n_words", 0.98)}
 
 
 def _repeats(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,8 +63,7 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     total = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[offsets])
     starts, ends, rows = runs(data, offsets, NON_SPACE)
-    rolling = RollingHash(data)
-    words = rolling.span(starts, ends)
+    words = digests(data, starts, ends)
     gram, first = grams(words, rows, 3)
     multiple, _ = _repeats(gram, rows[first])
     covered = np.zeros(len(words) + 3, bool)
@@ -68,7 +73,7 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     has = np.concatenate(([0], np.cumsum(np.bincount(starts, minlength=len(data) + 1) > 0)))
     full = has[le] > has[ls] if len(ls) else np.zeros(0, bool)
     ls, le, lrows = ls[full], le[full], lrows[full]
-    _, again = _repeats(rolling.span(ls, le), lrows)
+    _, again = _repeats(digests(data, ls, le), lrows)
     return {
         "n_words": lengths(rows, n),
         "word_chars": total(NON_SPACE[data] & ((data & 0xC0) != 0x80)),
@@ -94,14 +99,9 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 
 def _metrics() -> dict[str, Column]:
-    """Ratios in thousandths; two repeated lines and thirty repeated words are noise at any length."""
-    words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
-    return {
-        "word_length": F.floor(1000 * F.col("word_chars") / words),
-        "symbol_ratio": F.floor(1000 * F.col("n_symbols") / words),
-        "dup_line_ratio": F.floor(1000 * F.greatest(F.col("n_dup_lines") - 2, F.lit(0)) / lines),
-        "repeat_ratio": F.floor(1000 * F.greatest(F.col("n_repeat_words") - 30, F.lit(0)) / words),
-    }
+    """Ratios in thousandths."""
+    share = lambda count, of: F.floor(1000 * F.col(count) / F.greatest(F.col(of), F.lit(1)))
+    return {"word_length": share("word_chars", "n_words")} | {m: share(count, of) for m, (count, of, _) in RATES.items()}
 
 
 def sketch(measured: DataFrame, *groups: str) -> DataFrame:
@@ -112,64 +112,57 @@ def sketch(measured: DataFrame, *groups: str) -> DataFrame:
 
 
 def quantiles(sketches: DataFrame, groups: list[str], points: dict[str, float]) -> DataFrame:
-    """The sketches' quantiles, as a bucket's upper edge; one row per group and metric.
+    """The sketches' quantiles, as a bucket's lower edge; one row per group and metric.
 
-    A group has at most a few hundred buckets, whatever its documents are, so the window is small.
+    A group has at most about a thousand buckets, whatever its documents are, so the window is small.
     """
     from pyspark.sql import Window
 
     w = Window.partitionBy(*groups, "metric")
     run = sketches.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    edge = F.pow(F.lit(GAMMA), F.col("bucket") + 1) - 1
+    edge = F.pow(F.lit(GAMMA), F.col("bucket")) - 1
     return run.groupBy(*groups, "metric").agg(F.max("total").alias("total"), *[F.min(F.when(F.col("upto") >= F.ceil(q * F.col("total")), edge)).alias(k) for k, q in points.items()])
 
 
-def fences(sketches: DataFrame, groups: list[str], reach: float, slack: float, shift: float) -> DataFrame:
-    """total, high and low of each group and metric.
+def fences(sketches: DataFrame, groups: list[str], reach: float, over: float) -> DataFrame:
+    """total, high and low of each group and metric; low is of word length alone.
 
-    The spread is the smaller half of the quartiles' range, so up to half of a group may lie far off on one side.
+    The spread of word length is the smaller half of the quartiles' range, so up to half of a group may lie far off on one side.
     """
-    q = quantiles(sketches, groups, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    q = quantiles(sketches, groups, {"q25": 0.25, "q50": 0.5, "q75": 0.75} | {m: at for m, (_, _, at) in RATES.items()})
     spread = F.least(F.col("q75") - F.col("q50"), F.col("q50") - F.col("q25"))
-    up, down = F.col("q50") + spread, F.col("q50") - spread
-    return q.select(*groups, "metric", "total", (up + reach * spread + slack * up + shift).alias("high"), (down - reach * spread - slack * down - shift).alias("low"))
+    high = F.col("q50") + reach * spread
+    for m in RATES:
+        high = F.when(F.col("metric") == m, over * F.col(m)).otherwise(high)
+    return q.select(*groups, "metric", "total", high.alias("high"), F.when(F.col("metric") == "word_length", F.col("q50") - reach * spread).alias("low"))
 
 
-def limits(per_group: DataFrame, min_group: int, reach: float, slack: float, shift: float, noise: float) -> DataFrame:
-    """g_lang, g_source and the fences of each metric, one row per group.
+def limits(per_group: DataFrame, min_group: int, reach: float, over: float) -> DataFrame:
+    """g_lang, g_source and the fences of each metric, one row per group: means of the group's own and those of all documents, weighted by the group's count and ``min_group``."""
+    groups = ["lang", "source"]
+    own, whole = fences(per_group, groups, reach, over), fences(per_group.groupBy("metric", "bucket").agg(F.sum("n").alias("n")), [], reach, over)
+    both = own.join(F.broadcast(whole.select("metric", F.col("high").alias("all_high"), F.col("low").alias("all_low"))), "metric")  # four rows
+    drawn = lambda c: (F.col("total") * F.col(c) + min_group * F.col(f"all_{c}")) / (F.col("total") + min_group)
+    sides = [F.max(F.when(F.col("metric") == m, drawn(side))).alias(f"{m}_{side}") for m in METRICS for side in ("high", "low")]
+    return both.groupBy(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).agg(*sides)
 
-    The level of word length is a group's own. The other ratios are mostly 0, so their fence comes from the
-    non-zero ones; they are bad in any group, so it is at most the fence of all documents. Both are means of
-    the group's and the whole's, weighted by the group's count and ``min_group``.
-    """
-    groups, rates = ["lang", "source"], [m for m in METRICS if m != "word_length"]
-    everything = per_group.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
-    some = F.col("metric").isin(rates) & (F.col("bucket") > 0)
-    used = lambda s: s.where(some | (F.col("metric") == "word_length"))
-    add = F.when(F.col("metric") == "word_length", F.lit(shift)).otherwise(F.lit(noise))
-    own, whole = (fences(used(s), g, reach, slack, add) for s, g in ((per_group, groups), (everything, [])))
-    bound = fences(everything.where(F.col("metric").isin(rates)), [], reach, slack, F.lit(shift)).select("metric", F.col("high").alias("most"))
-    whole = whole.join(bound, "metric", "left").select("metric", F.least("high", "most").alias("all_high"), F.col("low").alias("all_low"), "most")  # a row per metric
-    drawn = lambda c: (F.coalesce("total", F.lit(0)) * F.coalesce(c, f"all_{c}") + min_group * F.col(f"all_{c}")) / (F.coalesce("total", F.lit(0)) + min_group)
-    every = per_group.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).distinct().join(F.broadcast(whole), F.lit(True))
-    mine = own.select(F.col("lang").alias("o_lang"), F.col("source").alias("o_source"), F.col("metric").alias("o_metric"), "total", "high", "low")
-    both = every.join(mine, F.col("g_lang").eqNullSafe(F.col("o_lang")) & F.col("g_source").eqNullSafe(F.col("o_source")) & (F.col("metric") == F.col("o_metric")), "left")
-    both = both.withColumn("high", F.least("high", "most")).withColumns({"high": drawn("high"), "low": drawn("low")})
-    return both.groupBy("g_lang", "g_source").agg(*[F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}") for m in METRICS for side in ("high", "low")])
-
-
-def filter_quality(docs: DataFrame, min_group: int = 200, reach: float = 8.0, slack: float = 0.5, shift: float = 150.0, noise: float = 50.0) -> DataFrame:
-    """Counts, the base rule and the adaptive verdict for each document.
-
-    A fence is ``q + reach * spread + slack * q + shift`` (thousandths), with ``q`` the spread above the median;
-    word length also has a lower one, mirrored about the median. What fails the base rule sets no fence. Fences of non-zero ratios have ``noise`` for ``shift``.
+
+def outlying() -> Column:
+    """Of counts, ratios and their group's fences: whether a document lies beyond one; no fence, none is beyond it."""
+    out = (F.col("word_length") > F.col("word_length_high")) | (F.col("word_length") < F.col("word_length_low"))
+    for m, (count, of, _) in RATES.items():
+        expected = F.col(f"{m}_high") / 1000 * F.col(of)
+        out |= F.col(count) > expected + 3 * F.sqrt(expected + 1)
+    return F.coalesce(out, F.lit(False))
+
+
+def filter_quality(docs: DataFrame, min_group: int = 50, reach: float = 10.0, over: float = 1.5) -> DataFrame:
+    """Counts, the base rule and the adaptive verdict for each document; what fails the base rule sets no fence.
+
+    Word length may lie ``reach`` spreads from the median, a rate is ``over`` times its quantile.
     """
     measured = cut(text_counts(docs)).withColumns(_metrics())  # a few numbers a document; the texts are read once
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    g = limits(cut(sketch(measured.where(~base), "lang", "source")), min_group, reach, slack, shift, noise)  # a few hundred rows a group
+    g = limits(cut(sketch(measured.where(~base), "lang", "source")), min_group, reach, over)  # about a thousand rows a group at most
     joined = measured.join(g, measured.lang.eqNullSafe(g.g_lang) & measured.source.eqNullSafe(g.g_source), "left")
-    outlier = F.lit(False)
-    for m in METRICS:
-        outlier |= F.coalesce(F.col(m) > F.col(f"{m}_high"), F.lit(False))
-    outlier |= F.coalesce(F.col("word_length") < F.col("word_length_low"), F.lit(False))
-    return joined.select("doc_id", *COUNTS[:5], base.alias("base_failed"), (~base & ~outlier).alias("kept"))
+    return joined.select("doc_id", *COUNTS[:5], base.alias("base_failed"), (~base & ~outlying()).alias("kept"))

@@ -197,24 +197,52 @@ def test_quality_counts_against_brute_force(spark):
         assert r.n_symbols == len(re.findall(r"[#*$%&|<>]", texts[r.doc_id]))
 
 
-def test_fences_move_and_hold(spark):
-    groups = {"dirty": [(0, 70), (1000, 30)], "worse": [(0, 40), (1000, 60)], "small": [(3, 30), (0, 970)], "large": [(100, 30), (0, 970)]}
-    rows = [(source, 0, 0, x, 0, 5000) for source, parts in groups.items() for x, n in parts for _ in range(10 * n if source in ("small", "large") else n)]
-    rows += [("few", 0, 0, 1000, 0, 5000)] * 3 + [("none", 0, 0, 0, 0, 5000)] * 100
-    measured = spark.createDataFrame(rows, "source string, a long, dup_line_ratio long, repeat_ratio long, symbol_ratio long, word_length long").withColumns({"lang": F.lit("en"), "n_words": F.lit(100)})
-    high = {r.g_source: r.repeat_ratio_high for r in quality_rules.limits(quality_rules.sketch(measured, "lang", "source"), 200, 8.0, 0.5, 150.0, 50.0).collect()}
-    assert max(high.values()) < 160
-    assert high["small"] + 20 < high["large"] and high["few"] == pytest.approx(high["none"], abs=5)
-    counted = {n: quality_rules.limits(quality_rules.sketch(measured.where("source = 'large'").unionByName(measured.where("source = 'small' and repeat_ratio = 3").limit(n)), "lang", "source"), 200, 8.0, 0.5, 150.0, 50.0).where("g_source = 'small'").first().repeat_ratio_high for n in (150, 199, 200, 250)}
-    assert counted[150] > counted[199] > counted[200] > counted[250] and counted[199] - counted[200] < 1
-
-
-def test_junk_of_a_dirty_source_goes(spark):
+def plain_verdicts(rows, min_group=50, reach=10.0, over=1.5):
+    """doc_id to kept, of (doc_id, lang, source, counts), from sorted lists of each group's ratios."""
+    import math
+
+    rates = {"symbol_ratio": ("n_symbols", "n_words", 0.85), "dup_line_ratio": ("n_dup_lines", "n_lines", 0.98), "repeat_ratio": ("n_repeat_words", "n_words", 0.98)}
+    base = {r.doc_id: r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words for r in rows}
+    ratio = lambda r, count, of: 1000 * r[count] // max(1, r[of])
+    edge = lambda x: 1.01 ** math.floor(math.log(1 + x) / math.log(1.01)) - 1
+
+    def fences(own):
+        at = lambda values, q: edge(sorted(values)[math.ceil(q * len(values)) - 1])
+        words = [ratio(r, "word_chars", "n_words") for r in own]
+        low, mid, up = (at(words, q) for q in (0.25, 0.5, 0.75))
+        spread = min(up - mid, mid - low)
+        return [mid + reach * spread, mid - reach * spread, *(over * at([ratio(r, c, of) for r in own], q) for c, of, q in rates.values())]
+
+    good = [r for r in rows if not base[r.doc_id]]
+    whole, groups = fences(good), {}
+    for r in good:
+        groups.setdefault((r.lang, r.source), []).append(r)
+    drawn = {k: [(len(own) * x + min_group * y) / (len(own) + min_group) for x, y in zip(fences(own), whole)] for k, own in groups.items()}
+    kept = {}
+    for r in rows:
+        kept[r.doc_id] = False
+        if not base[r.doc_id]:
+            high, low, *rest = drawn[r.lang, r.source]
+            expected = [f / 1000 * r[of] for f, (_, of, _) in zip(rest, rates.values())]
+            kept[r.doc_id] = low <= ratio(r, "word_chars", "n_words") <= high and all(r[c] <= e + 3 * math.sqrt(e + 1) for e, (c, _, _) in zip(expected, rates.values()))
+    return kept
+
+
+def test_verdicts_against_exact_quantiles(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("source")))
+    rows = quality_rules.text_counts(docs).collect()
+    want = plain_verdicts(rows)
+    assert {r.doc_id: r.kept for r in quality_rules.filter_quality(docs).collect()} == want
+    assert 0.02 < sum(not k for r, k in ((r, want[r.doc_id]) for r in rows) if r.n_words >= 50 and 2 * r.n_repeat_words <= r.n_words) / len(rows) < 0.15
+
+
+def test_fences_follow_the_group(spark):
+    """Symbols that are usual in one source are junk in another."""
     clean = " ".join(f"w{i}" for i in range(100))
-    docs = [(i, clean.replace("w", f"v{i}w"), "en", "s") for i in range(210)] + [(i, clean.replace("w", f"v{i}w") + " #" * 30, "en", "s") for i in range(210, 300)]
-    docs += [(i, clean.replace("w", f"v{i}w"), "en", "t") for i in range(300, 700)]
+    text = lambda i, n: clean.replace("w", f"v{i}w") + " #" * n
+    docs = [(i, text(i, 10), "en", "code") for i in range(400)] + [(i, text(i, 10 if i % 10 == 0 else 0), "en", "prose") for i in range(400, 900)]
     out = {r.doc_id: r.kept for r in quality_rules.filter_quality(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(out[i] for i in range(210)) and not any(out[i] for i in range(210, 300)) and all(out[i] for i in range(300, 700))
+    assert all(out[i] for i in range(400)) and all(out[i] == (i % 10 != 0) for i in range(400, 900))
 
 
 def test_held_out_accuracy(spark):
