@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemloom.llm.html_blocks import WORD, Block, blocks
-from stemloom.llm.store import LONGEST, fitted
+from stemloom.llm.store import chosen, fitted
 
 FEATURES = 1 << 13
 # fixed values: names that page templates give to the parts of a page
@@ -189,14 +189,14 @@ def learnt(pages: list[str], made: int) -> tuple[np.ndarray, np.ndarray]:
     return fit(known)
 
 
-def train(pages: DataFrame, sample: int = 150, made: int = 450, longest: int = 10 * LONGEST) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions from at most ``sample`` pages of at most ``longest`` bytes, the ones of least hash, and ``made`` generated ones."""
-    rows = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").isNotNull() & (F.octet_length("html") <= longest)).select(F.xxhash64("html").alias("h"), "html")
-    ids = rows.select("h").orderBy("h").limit(sample)
-    some = rows.join(F.broadcast(ids.distinct()), "h", "left_semi").dropDuplicates(["h", "html"])
+def train(pages: DataFrame, sample: int = 150, made: int = 450) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions from at most ``sample`` distinct pages of any length, the ones of least hash, and ``made`` generated ones; from fewer pages where they exceed ``store.BYTES``."""
+    rows = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").isNotNull()).select(F.xxhash64("html").alias("h"), "html")
+    ids, most = chosen(rows.select("h", F.octet_length("html").alias("size")).distinct(), sample)
+    some = rows.join(F.broadcast(ids.select("h").distinct()), "h", "left_semi").dropDuplicates(["h", "html"])
 
     def run(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return learnt(t.sort_by([("h", "ascending"), ("html", "ascending")]).column("html").to_pylist()[:sample], made)
+        return learnt(t.sort_by([("h", "ascending"), ("html", "ascending")]).column("html").to_pylist()[:most], made)
 
     return tuple(fitted(some, run))
 

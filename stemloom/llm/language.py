@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemloom.llm.arrowtext import LOWER, Chunk, byte_table, chunks
-from stemloom.llm.store import LONGEST, fitted
+from stemloom.llm.store import BYTES, cut, fitted
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
@@ -122,25 +122,26 @@ def fit(texts: list[str], names: list[str], epochs: int = 8, rate: float = 2.0,
     return Model(languages, table, bias.astype(float), t, float(max(wrong, default=0.0)))
 
 
-def train(docs: DataFrame, wanted, per_language: int = 600, languages: int = 1_000, longest: int = LONGEST) -> Model:
-    """Fits on about ``per_language`` texts of each language among the rows ``wanted``, of at most ``longest`` bytes.
+def train(docs: DataFrame, wanted, per_language: int = 600, languages: int = 1_000) -> Model:
+    """Fits on about ``per_language`` texts of any length of each language among the rows ``wanted``; on fewer of a language where they exceed its part of ``store.BYTES``.
 
     The commonest ``languages`` are learnt. A language's rows are counted, and those whose hash lies below the share that is
     wanted are taken, so that no task ranks a language's rows; the least hashes of these are used, ``per_language`` at most.
     """
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & wanted).select(F.col("lang").cast("string").alias("y"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    own = own.where(F.octet_length("text") <= longest)
-    sizes = own.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(languages)
+    sizes = cut(own.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "y").limit(languages))
+    each = BYTES // max(1, sizes.count())
+    sizes = sizes.withColumn("most", F.greatest(F.lit(1), F.least(F.lit(per_language), F.floor(F.col("n") * each / F.greatest("bytes", F.lit(1))))))
     place = F.shiftrightunsigned("h", 1) / F.lit(float(1 << 63))
-    some = own.join(F.broadcast(sizes), "y").where(place * F.col("n") < per_language + 6 * per_language**0.5).select("y", "h", "text")
+    some = own.join(F.broadcast(sizes), "y").where(place * F.col("n") < F.col("most") + 6 * F.sqrt("most")).select("y", "h", "text", "most").distinct()
 
     def run(t: pa.Table) -> tuple:
         t = t.sort_by([("h", "ascending"), ("y", "ascending"), ("text", "ascending")])
         taken: dict[str, int] = {}
         keep = []
-        for y in t.column("y").to_pylist():
+        for y, most in zip(t.column("y").to_pylist(), t.column("most").to_pylist(), strict=True):
             taken[y] = taken.get(y, 0) + 1
-            keep.append(taken[y] <= per_language)
+            keep.append(taken[y] <= most)
         t = t.filter(pa.array(keep, pa.bool_()))
         return tuple(fit(t.column("text").to_pylist(), t.column("y").to_pylist()))
 

@@ -13,10 +13,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Bytes of the longest text that a model is fitted on: a sample of so many rows is so many times this, at most.
-LONGEST = 40_000
+#: Bytes of the texts that a model is fitted on, about: where a sample's rows would have more, it has fewer rows.
+BYTES = 128 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def chosen(sized: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Of distinct (h, size, …), those of least hash, and how many of these to use: ``most``, or as many as BYTES hold.
+
+    No row is left out for its own length, and none is ranked: a row is taken if its hash lies below the share that is wanted.
+    """
+    sized = cut(sized)  # a few numbers a row
+    found = sized.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    wanted = max(1, min(most, int(found.n * BYTES / max(1, found.bytes or 0))))
+    place = F.shiftrightunsigned("h", 1) / F.lit(float(1 << 63))
+    return sized.where(place * found.n < wanted + 6 * wanted**0.5), wanted
+
+
 def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
     """What ``fit`` makes of a bounded sample, in one task: the driver gets the model, of plain values and arrays, and no texts."""
     schema = to_arrow_schema(sample.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemloom.llm.arrowtext import ALNUM, LOWER, RollingHash, chunks, mix, runs
-from stemloom.llm.store import LONGEST, fitted as fitted_in_task
+from stemloom.llm.store import chosen, fitted as fitted_in_task
 
 U64 = np.uint64
 BUCKETS = 1 << 18
@@ -232,15 +232,16 @@ def calibrated(m: Machine, texts: list[str], labels: np.ndarray) -> Machine:
     return m._replace(slope=float(a), shift=float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8_000, longest: int = LONGEST) -> Machine:
-    """Fits on at most ``sample`` labelled rows of at most ``longest`` bytes, those of least hash, a fifth of them for the calibration."""
-    ids = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    ids = ids.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "y").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").where(F.octet_length("text") <= longest)
-    rows = rows.select("h", "text", "y").orderBy("h", "text", "y").limit(sample)
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8_000) -> Machine:
+    """Fits on at most ``sample`` distinct labelled rows of any length, those of least hash, a fifth of them for the calibration; on fewer where their texts exceed ``store.BYTES``."""
+    ids = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).distinct()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("doc_id", "text"))
+    sized = own.select("doc_id", "h", F.octet_length("text").alias("size")).join(ids, "doc_id").distinct()
+    some, most = chosen(sized, sample)
+    rows = own.join(F.broadcast(some.select("h", "y")), "h").select("h", "text", "y").distinct()  # about as many as the sample
 
     def run(t: pa.Table) -> tuple:
-        t = t.sort_by([("h", "ascending"), ("text", "ascending"), ("y", "ascending")])
+        t = t.sort_by([("h", "ascending"), ("text", "ascending"), ("y", "ascending")]).slice(0, most)
         texts, y = t.column("text").to_pylist(), t.column("y").to_numpy().astype(float)
         held = np.arange(len(y)) % 5 == 4
         m = fit([t for t, k in zip(texts, held, strict=True) if not k], y[~held])

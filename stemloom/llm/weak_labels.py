@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from stemloom.llm.arrowtext import ALNUM, LOWER, NON_SPACE, Chunk, RollingHash, byte_table, chunks, lengths, mix, runs
 from stemloom.llm.quality_rules import counts
-from stemloom.llm.store import LONGEST, cut, fitted
+from stemloom.llm.store import chosen, cut, fitted
 
 U64 = np.uint64
 BUCKETS = 1 << 16
@@ -143,16 +143,16 @@ def terms(c: Chunk, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def surveyed(docs: DataFrame) -> DataFrame:
-    """text_hash and pattern of every document that has words."""
+    """text_hash, bytes and pattern of every document that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch):
                 ratio, n = ratios(c)
-                yield pa.RecordBatch.from_pydict({"text_hash": batch.column(0).slice(c.lo, c.hi - c.lo), "pattern": pa.array(patterns(votes(ratio)), pa.int32()), "n_words": pa.array(n, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"text_hash": batch.column(0).slice(c.lo, c.hi - c.lo), "size": batch.column(2).slice(c.lo, c.hi - c.lo), "pattern": pa.array(patterns(votes(ratio)), pa.int32()), "n_words": pa.array(n, pa.int64())})
 
     text = F.col("text").cast("string")
-    return docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "text_hash long, pattern int, n_words long").where("n_words > 0").drop("n_words")
+    return docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"), F.octet_length(text).cast("long").alias("size")).mapInArrow(run, "text_hash long, size long, pattern int, n_words long").where("n_words > 0").drop("n_words")
 
 
 def fit(texts: list[str], target: np.ndarray, epochs: int = 8, rate: float = 0.5, decay: float = 1e-5, batch: int = 32, seed: int = 11) -> Scorer:
@@ -183,18 +183,18 @@ def fit(texts: list[str], target: np.ndarray, epochs: int = 8, rate: float = 0.5
     return Scorer(w, bias)
 
 
-def train(docs: DataFrame, sample: int = 4_000, longest: int = LONGEST) -> Scorer:
-    """Label model on the patterns of all documents; scorer on at most ``sample`` distinct texts of at most ``longest`` bytes, those of least hash."""
-    seen = cut(surveyed(docs))  # two numbers a document
+def train(docs: DataFrame, sample: int = 4_000) -> Scorer:
+    """Label model on the patterns of all documents; scorer on at most ``sample`` distinct texts of any length, those of least hash, or on fewer where they exceed ``store.BYTES``."""
+    seen = cut(surveyed(docs))  # three numbers a document
     counted = seen.groupBy("pattern").count().toPandas()  # 3 ** labellers rows at most
     good = dict(zip(counted["pattern"], posteriors(counted["pattern"].to_numpy(), counted["count"].to_numpy())[0], strict=True))
-    ids = seen.groupBy("text_hash").agg(F.min("pattern").alias("pattern")).orderBy("text_hash").limit(sample)
+    ids, most = chosen(seen.groupBy(F.col("text_hash").alias("h")).agg(F.min("pattern").alias("pattern"), F.max("size").alias("size")), sample)
     text = F.col("text").cast("string")
-    own = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).where(F.octet_length("text") <= longest).join(F.broadcast(ids), "text_hash")
+    own = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).join(F.broadcast(ids.select(F.col("h").alias("text_hash"), "pattern")), "text_hash")
     rows = own.groupBy("text_hash", "pattern").agg(F.max("text").alias("text"))
 
     def run(t: pa.Table) -> tuple:
-        t = t.sort_by("text_hash")
+        t = t.sort_by("text_hash").slice(0, most)
         return tuple(fit(t.column("text").to_pylist(), np.array([good[x] for x in t.column("pattern").to_pylist()], float)))
 
     return Scorer(*fitted(rows, run))

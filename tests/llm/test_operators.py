@@ -450,4 +450,3 @@ def test_languages_are_sampled_by_hash(spark):
     found = {r.doc_id: r.lang_pred for r in language.identify(docs.where("lang <> 'rare'"), m).collect()}
     assert sum(found[i] == lang for i, _, lang in rows[:900]) > 890
     assert language.train(docs, F.lit(True), per_language=100, languages=2).languages == ["de", "en"]
-    assert language.train(docs, F.lit(True), longest=5).languages == ["rare"]
