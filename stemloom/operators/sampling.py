@@ -29,7 +29,7 @@ def sampled_sets(rows: DataFrame, k: int, count: int, seed: int = 0, by: str = "
     digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(key).cast("string")))
     w = Window.partitionBy(by, "replicate").orderBy(digest, key)
     kept = drawn.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= k).drop("_place")
-    return kept.join(F.broadcast(fine.where("_fine")), by).drop("_fine")  # a row a family
+    return kept.join(fine.where("_fine"), by).drop("_fine")
 
 
 def repeated(values: DataFrame, by: str, times: int) -> DataFrame:
