@@ -127,10 +127,11 @@ def quantiles(sketches: DataFrame, groups: list[str], points: dict[str, float])
 def fences(sketches: DataFrame, groups: list[str], reach: float, over: float) -> DataFrame:
     """total, high and low of each group and metric; low is of word length alone.
 
-    The spread of word length is the smaller half of the quartiles' range, so up to half of a group may lie far off on one side.
+    The spread of word length is the smaller half of the quartiles' range, so up to half of a group may lie far off on one side;
+    it is a bucket's width at least, as a sketch tells no less apart.
     """
     q = quantiles(sketches, groups, {"q25": 0.25, "q50": 0.5, "q75": 0.75} | {m: at for m, (_, _, at) in RATES.items()})
-    spread = F.least(F.col("q75") - F.col("q50"), F.col("q50") - F.col("q25"))
+    spread = F.greatest(F.least(F.col("q75") - F.col("q50"), F.col("q50") - F.col("q25")), (GAMMA - 1) * F.col("q50"))
     high = F.col("q50") + reach * spread
     for m in RATES:
         high = F.when(F.col("metric") == m, over * F.col(m)).otherwise(high)

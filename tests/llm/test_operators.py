@@ -210,7 +210,7 @@ def plain_verdicts(rows, min_group=50, reach=10.0, over=1.5):
         at = lambda values, q: edge(sorted(values)[math.ceil(q * len(values)) - 1])
         words = [ratio(r, "word_chars", "n_words") for r in own]
         low, mid, up = (at(words, q) for q in (0.25, 0.5, 0.75))
-        spread = min(up - mid, mid - low)
+        spread = max(min(up - mid, mid - low), (1.01 - 1) * mid)
         return [mid + reach * spread, mid - reach * spread, *(over * at([ratio(r, c, of) for r in own], q) for c, of, q in rates.values())]
 
     good = [r for r in rows if not base[r.doc_id]]
@@ -239,7 +239,7 @@ def test_verdicts_against_exact_quantiles(spark):
 def test_fences_follow_the_group(spark):
     """Symbols that are usual in one source are junk in another."""
     clean = " ".join(f"w{i}" for i in range(100))
-    text = lambda i, n: clean.replace("w", f"v{i}w") + " #" * n
+    text = lambda i, n: clean.replace("w", f"v{i:03d}w") + " #" * n
     docs = [(i, text(i, 10), "en", "code") for i in range(400)] + [(i, text(i, 10 if i % 10 == 0 else 0), "en", "prose") for i in range(400, 900)]
     out = {r.doc_id: r.kept for r in quality_rules.filter_quality(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
     assert all(out[i] for i in range(400)) and all(out[i] == (i % 10 != 0) for i in range(400, 900))
