@@ -238,10 +238,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("doc_id", "text"))
     sized = own.select("doc_id", "h", F.octet_length("text").alias("size")).join(ids, "doc_id").distinct()
     some, most = chosen(sized, sample)
-    rows = own.join(F.broadcast(some.select("h", "y")), "h").select("h", "text", "y").distinct()  # about as many as the sample
+    rows = own.join(F.broadcast(some.select("h", "y")), "h").select("h", F.xxhash64("doc_id").alias("order"), "text", "y").distinct()  # about as many as the sample
 
     def run(t: pa.Table) -> tuple:
         t = t.sort_by([("h", "ascending"), ("text", "ascending"), ("y", "ascending")]).slice(0, most)
+        t = t.sort_by([("order", "ascending"), ("text", "ascending"), ("y", "ascending")])
         texts, y = t.column("text").to_pylist(), t.column("y").to_numpy().astype(float)
         held = np.arange(len(y)) % 5 == 4
         m = fit([t for t, k in zip(texts, held, strict=True) if not k], y[~held])
