@@ -55,28 +55,65 @@ def differing_bases() -> np.ndarray:
     return out
 
 
+def _alike(low: float) -> bool:
+    return 100 * low + 0.5 > 100.45
+
+
+def least_share(code: np.ndarray, until_unlike: bool = False) -> float:
+    """The least share of equal columns among two of distinct rows, 1 of fewer than two; with ``until_unlike``, any share that shows them not to be all alike.
+
+    Two rows differ in no more columns than both together differ from the commonest codes. Rows are met from the furthest
+    on, each with those that may still differ from it in more columns than the best pair so far.
+    """
+    n, length = code.shape
+    if n < 2:
+        return 1.0
+    common = np.argmax(np.stack([(code == c).sum(0) for c in range(6)]), 0)
+    far = (code != common).sum(1)
+    order = np.argsort(-far, kind="stable")
+    code, far = code[order], far[order]
+    most = 0
+    for k in range(n - 1):
+        if far[k] + far[k + 1] <= most or until_unlike and not _alike((length - most) / max(1, length)):
+            break
+        end = int(np.searchsorted(-far, far[k] - most - 1, side="right"))
+        most = max(most, int((code[k + 1 : end] != code[k]).sum(1).max(initial=0)))
+    return (length - most) / max(1, length)
+
+
+def greatest_share(code: np.ndarray) -> float:
+    """The greatest share of equal columns among two rows; stops at rows that are equal, or differ in one column where none are equal."""
+    n, length = code.shape
+    code, times = np.unique(code, axis=0, return_counts=True)
+    if (times > 1).any() or not length:
+        return 1.0 if length else 0.0
+    best = int((code[1:] == code[:-1]).sum(1).max(initial=0))
+    for k in range(n - 1):
+        if best == length - 1:
+            break
+        best = max(best, int((code[k + 1 :] == code[k]).sum(1).max()))
+    return best / length
+
+
 def identity_bins(code: np.ndarray, weight: np.ndarray) -> tuple[int, int] | None:
     """Bins of 5 % of the greatest and the least share of equal columns among two rows, which choose the substitution matrix; None if rows are too few or all equal."""
     if weight.sum() < 2:
         return None
-    length = code.shape[1]
-    low, high = 1.0, 1.0 if (weight > 1).any() else 0.0
-    for k in range(len(code) - 1):
-        same = (code[k + 1 :] == code[k]).sum(1) / max(1, length)
-        low, high = min(low, same.min()), max(high, same.max())
-    if 100 * low + 0.5 > 100.45:
+    low = least_share(code)
+    if _alike(low):
         return None
+    high = 1.0 if (weight > 1).any() else greatest_share(code)
     top, bottom = max(12, int(100 * high + 0.5) // 5), max(5, int(100 * low + 0.5) // 5)
     return top, min(bottom, top - 1)
 
 
 def substitution(a: Alignment, tables: dict[tuple[int, int], np.ndarray] | None) -> np.ndarray:
     """The table of the alignment's identity bins, with pair types as its two axes; without tables, the differing bases."""
+    if tables is None:
+        return np.zeros((7, 7)) if _alike(least_share(a.code, True)) else differing_bases()
     bins = identity_bins(a.code, a.weight)
     if bins is None:
         return np.zeros((7, 7))
-    if tables is None:
-        return differing_bases()
     top, bottom = bins
     while (top, bottom) not in tables and bottom > 0:
         bottom -= 1
