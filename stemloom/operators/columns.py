@@ -7,11 +7,15 @@ known by ``fam``, of any type. Empty tables give no rows; further columns are ig
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemloom.sources.shared import written
+
 GAP, OTHER = 5, 4
 #: Bins of 5 % of identity start at these; of substitution matrices, there is none below.
 LEAST_HIGH, LEAST_LOW = 12, 5
@@ -113,10 +117,112 @@ def row_identity(msa: DataFrame) -> DataFrame:
     return pair_identities(msa).select("fam", "a_seq", "b_seq", (F.col("width") - F.col("same")).alias("hamming"), F.when(aligned > 0, 100.0 * equal / aligned).otherwise(0.0).alias("identity"))
 
 
-def identity_range(msa: DataFrame) -> DataFrame:
-    """(fam, lo, hi, mean) of the percentage of equal columns over all pairs of rows; gaps in both count as equal. Alignments of one row give none."""
-    pairs = pair_identities(msa).select("fam", (100.0 * F.col("same") / F.greatest("width", F.lit(1))).alias("x"))
-    return pairs.groupBy("fam").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"))
+def _letters(counted: DataFrame) -> DataFrame:
+    """(fam, col, letter, n) of (fam, text, n): how many rows have a letter in a column, counted a batch at a time where the rows are."""
+    kind = counted.schema["fam"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = pa.Table.from_batches([b.select(["fam"])]).append_column("at", pa.array(np.arange(b.num_rows)))
+            for g in of.group_by("fam").aggregate([("at", "list")]).to_pylist():
+                own = b.take(pa.array(g["at_list"]))
+                data, times = _bytes(own.column("text").to_pylist()), own.column("n").to_numpy()
+                for letter in np.unique(data):
+                    n = times @ (data == letter)
+                    col = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array([g["fam"]] * len(col), b.schema.field("fam").type), pa.array(col, pa.int32()), pa.array([int(letter)] * len(col), pa.int32()), pa.array(n[col], pa.int64())], names=["fam", "col", "letter", "n"])
+
+    return counted.mapInArrow(run, f"fam {kind}, col int, letter int, n long").groupBy("fam", "col", "letter").agg(F.sum("n").alias("n"))
+
+
+def _bytes(texts: list[str]) -> np.ndarray:
+    if len(set(map(len, texts))) > 1:
+        raise ValueError("the rows of an alignment must have equal lengths")
+    return np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8).reshape(len(texts), -1)
+
+
+def _extremes(rows: DataFrame, block: int) -> DataFrame:
+    """(fam, least, most) equal columns over all pairs of the distinct rows (fam, text).
+
+    Pairs of blocks of about ``block`` rows are dealt over tasks, and each gives two numbers.
+    """
+    spark = rows.sparkSession
+    kind = rows.schema["fam"].dataType.simpleString()
+    tasks = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    sizes = rows.groupBy("fam").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = rows.join(sizes, "fam").withColumn("own", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int"))
+    dealt = own.select("fam", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = dealt.select("fam", "text", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def run(t: pa.Table) -> pa.Table:
+        data, own = _bytes(t.column("text").to_pylist()), t.column("own").to_numpy()
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        left, right = data[own == lo], data[own == hi]
+        most, least = -1, data.shape[1] + 1
+        for first in range(0, len(left), block):
+            part = left[first : first + block]
+            for second in range(first if lo == hi else 0, len(right), block):
+                other = right[second : second + block]
+                same = np.zeros((len(part), len(other)), np.float32)
+                for letter in np.intersect1d(part, other):
+                    same += (part == letter).astype(np.float32) @ (other == letter).astype(np.float32).T
+                found = same[np.triu_indices(len(part), 1)] if lo == hi and first == second else same.ravel()
+                if len(found):
+                    most, least = max(most, int(found.max())), min(least, int(found.min()))
+        there = most >= 0
+        return pa.table({"fam": t.column("fam").combine_chunks().slice(0, int(there)), "least": pa.array([least] * there, pa.int64()), "most": pa.array([most] * there, pa.int64())})
+
+    keys = ["fam", "lo", "hi"]
+    found = met.repartition(tasks, *keys).groupBy(*keys).applyInArrow(run, f"fam {kind}, least long, most long")
+    return found.groupBy("fam").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+#: Rows furthest from an alignment's commonest letters that are met first.
+FURTHEST = 64
+
+
+def identity_range(msa: DataFrame, block: int = 2048) -> DataFrame:
+    """(fam, lo, hi, mean) of the percentage of equal columns over all pairs of rows; gaps in both count as equal. Alignments of one row give none.
+
+    The mean follows from the letters of each column, and an alignment with equal rows has a hi of 100. Two rows differ in no
+    more columns than both together differ from the commonest letters: only rows that are far enough from those to differ
+    more than the best pair of the furthest few can be in the least pair, and only these meet. Where no rows are equal,
+    or all lie equally far, all pairs meet, block by block.
+    """
+    kind = msa.schema["fam"].dataType.simpleString()
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x{00}-\\x{FF}]", "?")
+    counted = written(msa.select("fam", text.alias("text")).groupBy("fam", "text").agg(F.count("*").alias("n")))
+    sizes = counted.groupBy("fam").agg(F.sum("n").alias("rows"), F.count("*").alias("kinds"), F.min(F.length("text")).alias("width"), F.max(F.length("text")).alias("_most"))
+    uneven = F.raise_error(F.lit("the rows of an alignment must have equal lengths"))
+    sizes = sizes.select("fam", "rows", "kinds", F.when(F.col("width") < F.col("_most"), uneven).otherwise(F.col("width")).cast("int").alias("width")).where("rows > 1")
+    letters = written(_letters(counted))
+    equal = letters.groupBy("fam").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("equal"))
+    common = letters.groupBy("fam", "col").agg(F.max_by("letter", F.struct("n", "letter")).alias("letter"))
+    common = common.groupBy("fam").agg(F.transform(F.sort_array(F.collect_list(F.struct("col", "letter"))), lambda x: x.letter).alias("common"))  # at most the columns of an alignment
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, common = b.column("text").to_pylist(), b.column("common")
+            far = np.zeros(b.num_rows, np.int64)
+            of = pa.Table.from_batches([b.select(["fam"])]).append_column("at", pa.array(np.arange(b.num_rows)))
+            for g in of.group_by("fam").aggregate([("at", "list")]).to_pylist():
+                at = g["at_list"]
+                far[at] = (_bytes([texts[k] for k in at]) != np.array(common[at[0]].as_py(), np.uint8)).sum(1)
+            yield pa.RecordBatch.from_arrays([b.column("fam"), b.column("text"), pa.array(far)], names=["fam", "text", "far"])
+
+    spread = counted.join(sizes.where("kinds > 1 and width > 0").select("fam"), "fam").join(common, "fam").select("fam", "text", "common")
+    rows = written(spread.mapInArrow(distances, f"fam {kind}, text string, far long"))
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("fam").orderBy(F.desc("far"), "text"))).where(F.col("k") <= FURTHEST)
+    known = _extremes(first.select("fam", "text"), block).select("fam", F.col("least").alias("first"))
+    bound = written(known.join(rows.groupBy("fam").agg(F.max("far").alias("top")), "fam").join(sizes, "fam"))
+    able = (F.col("rows") == F.col("kinds")) | (F.col("far") + F.col("top") > F.col("width") - F.col("first"))
+    found = _extremes(rows.join(bound, "fam").where(able).select("fam", "text"), block)
+    whole = sizes.join(equal, "fam", "left").join(bound.select("fam", "first"), "fam", "left").join(found, "fam", "left")
+    least = F.coalesce(F.least("first", "least"), F.col("width"))
+    most = F.when(F.col("rows") > F.col("kinds"), F.col("width")).otherwise(F.coalesce("most", "width"))
+    share = lambda x: 100.0 * x / F.greatest("width", F.lit(1))
+    pairs = F.col("rows") * (F.col("rows") - 1) / 2
+    return whole.select("fam", share(least).alias("lo"), share(most).alias("hi"), (share(F.coalesce("equal", F.lit(0.0))) / pairs).alias("mean"))
 
 
 def identity_bins(msa: DataFrame) -> DataFrame:

@@ -4,9 +4,12 @@ import hashlib
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
+
 from stemloom.functions import beam
 from stemloom.functions.conservation import alignment, differing_bases, identity_bins, pairable, substitution
 from stemloom.functions.energies import builtin
+from stemloom.operators import columns as C
 
 
 def _rows(n: int, width: int = 32, letters: str = "ACGU-N") -> list[str]:
@@ -18,6 +21,28 @@ def _rows(n: int, width: int = 32, letters: str = "ACGU-N") -> list[str]:
     return out
 
 
+def test_identity_range_is_that_of_all_pairs(spark):
+    rows = [(f, k, t) for f, n in ((1, 120), (2, 30), (3, 1)) for k, t in enumerate(_rows(n))] + [(4, k, "ACGU") for k in range(3)] + [(5, 0, None), (5, 1, ""), (6, 0, "A漢"), (6, 1, "CĀ")]
+    msa = spark.createDataFrame(rows, "fam int, seq long, text string")
+    x = C.pair_identities(msa).select("fam", (100.0 * F.col("same") / F.greatest("width", F.lit(1))).alias("x"))
+    want = {r.fam: r for r in x.groupBy("fam").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean")).collect()}
+    for block in (2048, 7):
+        got = {r.fam: r for r in C.identity_range(msa, block).collect()}
+        assert got.keys() == want.keys() == {1, 2, 4, 5, 6}
+        for k, r in want.items():
+            assert (got[k].lo, got[k].hi) == (r.lo, r.hi) and abs(got[k].mean - r.mean) < 1e-9
+
+
+def test_identity_range_of_many_rows(spark):
+    """20,000 rows have 200 million pairs; those that can be the furthest are few."""
+    texts = _rows(20_000)
+    msa = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "fam int, seq long, text string")
+    (row,) = C.identity_range(msa).collect()
+    code = np.frombuffer("".join(sorted(set(texts))).encode(), np.uint8).reshape(-1, 32)
+    least = min(int((code == x).sum(1).min()) for x in code[:: max(1, len(code) // 300)])
+    assert row.hi == 100 and row.lo <= 100 * least / 32
+
+
 def test_identities_of_one_alignment():
     rng = np.random.default_rng(1)
     for _ in range(300):
