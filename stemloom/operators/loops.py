@@ -8,11 +8,16 @@ small internal loops have thousands of entries on up to six keys: they are a tab
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stemloom.functions.conservation import alignment
 from stemloom.functions.energies import FAR, LOG_SLOPE, LONGEST, MAX_ASYMMETRY, SHORT_HAIRPIN, SMALL, Energies, builtin
+from stemloom.functions.loop_counts import Counts
 from stemloom.operators import columns as C
 from stemloom.operators.pairs import pair_code
 from stemloom.sources.shared import written
@@ -166,6 +171,61 @@ def summed_loops(energies: DataFrame) -> DataFrame:
     return energies.groupBy("fam", "p", "q", "i", "j").agg(F.sum("energy").alias("energy"))
 
 
+#: Rows of an alignment, and loops, that one task meets at once.
+ROWS, LOOPS = 1 << 15, 1 << 17
+
+
+def with_listed(e: Energies, table: DataFrame) -> Energies:
+    """``e`` with the small internal loops of (KEYS, energy) in place of its own; at most about 50,000 entries are read, whatever the data."""
+    fit = F.lit(True)
+    for k in KEYS[1:]:
+        fit &= F.col(k).between(0, 7 if k in READ else 4)
+    for name, n in SMALL.items():
+        for k in KEYS[3 + n :]:
+            fit &= (F.col("loop") != name) | (F.col(k) == 0)
+    entries = table.where(F.col("loop").isin(*SMALL) & fit & F.col("energy").isNotNull()).groupBy(*KEYS).agg(F.max("energy").alias("energy")).collect()
+    return replace(e, one_one=None, one_two=None, two_two=None).listing(map(tuple, entries))
+
+
+def loop_totals(msa: DataFrame, enclosed: DataFrame, table: DataFrame | None = None, e: Energies | None = None, rows: int = ROWS) -> DataFrame:
+    """(fam, p, q, i, j, energy): ``summed_loops`` of ``loop_energies`` over the rows of (fam, seq, text), without a row for each loop in each of them.
+
+    Equal rows are counted before the shuffle. An alignment's rows are dealt into blocks of about ``rows`` by hash, its loops
+    into parts, and each task counts how often each look of a loop occurs in a block and scores it once (``loop_counts``);
+    what it gives is as large as its loops. Texts are read as by ``cells_of``; rows of unequal lengths raise an error.
+    """
+    energies = e or builtin()
+    if table is not None:
+        energies = with_listed(energies, table)
+    spark = msa.sparkSession
+    kind = msa.schema["fam"].dataType.simpleString()
+    tasks = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    text = F.regexp_replace("text", "[^ACGU-]", "N")
+    counted = written(msa.where("text <> ''").select("fam", text.alias("text")).groupBy("fam", "text").agg(F.count("*").alias("n")))
+    enclosed = written(enclosed.select("fam", "p", "q", "i", "j").distinct())
+    blocks = counted.groupBy("fam").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks"))
+    parts = enclosed.groupBy("fam").agg(F.ceil(F.count("*") / LOOPS).cast("int").alias("parts"))
+    sizes = blocks.join(parts, "fam")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(f"{c}s") - 1)).alias(c)
+    deal = lambda c, *of: F.pmod(F.xxhash64(*of), F.col(f"{c}s")).cast("int").alias(c)
+    keys = ["fam", "block", "part"]
+    left = counted.join(sizes, "fam").select("fam", deal("block", "text"), each("part"), "text", "n").repartition(tasks, *keys)
+    right = enclosed.join(sizes, "fam").select("fam", each("block"), deal("part", "p", "i"), "p", "q", "i", "j").repartition(tasks, *keys)
+
+    def run(texts: pa.Table, loops: pa.Table) -> pa.Table:
+        if not texts.num_rows or not loops.num_rows:
+            loops = loops.slice(0, 0)
+            energy = np.zeros(0, np.int64)
+        else:
+            loops = loops.sort_by([(c, "ascending") for c in ("p", "i", "j", "q")])
+            a = alignment(texts.column("text").to_pylist(), texts.column("n").to_pylist())
+            energy = Counts(a, energies).sums(*(loops.column(c).to_numpy() for c in ("p", "i", "j", "q")))
+        return loops.select(["fam", "p", "q", "i", "j"]).append_column("energy", pa.array(energy, pa.int64()))
+
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"fam {kind}, p int, q int, i int, j int, energy long")
+    return found.groupBy("fam", "p", "q", "i", "j").agg(F.sum("energy").alias("energy"))
+
+
 def special_loops(cells: DataFrame, lists: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(fam, seq, col, kind, place): for each column and kind of special hairpin, its place in the kind's list where one begins at the column's base, else -1.
 

@@ -87,7 +87,7 @@ OPERATORS: dict[str, Callable] = {
     "substitution_choice": lambda x: substitutions.chosen(C.identity_bins(x.msa), rule_tables(x.spark)),
     "pscore_by_identity": lambda x: substitutions.scored(x.counts, substitutions.matrices(x.msa, rule_tables(x.spark))),
     "loop_energies": _small_loops,
-    "loop_sums": lambda x: loops.summed_loops(loops.loop_energies(x.cells, P.enclosing(written(x.pairable), x.upto, 6), rule_loops(x.spark))),
+    "loop_sums": lambda x: loops.loop_totals(x.msa, P.enclosing(written(x.pairable), x.upto, 6), rule_loops(x.spark)),
     "special_hairpins": lambda x: loops.special_loops(x.cells),
     "bracket_closings": lambda x: brackets.closing_pairs(drawn_kinds(x)),
     "traceback_pairs": lambda x: traced(x).select("fam", "i", "j", "level"),

@@ -10,6 +10,10 @@ from stemloom.functions import beam
 from stemloom.functions.conservation import alignment, differing_bases, identity_bins, pairable, substitution
 from stemloom.functions.energies import builtin
 from stemloom.operators import columns as C
+from stemloom.operators import loops
+from stemloom.operators import pairs as P
+from stemloom.plans.steps import rule_loops
+from stemloom.sources.alignments import cells_of
 
 
 def _rows(n: int, width: int = 32, letters: str = "ACGU-N") -> list[str]:
@@ -21,6 +25,16 @@ def _rows(n: int, width: int = 32, letters: str = "ACGU-N") -> list[str]:
     return out
 
 
+def test_loop_totals_are_the_sums_of_the_rows(spark):
+    rows = [(f, k, t) for f in (1, 2) for k, t in enumerate(_rows(40 + f))] + [(1, 90, _rows(1)[0]), (3, 0, None)]
+    msa = spark.createDataFrame(rows, "fam int, seq long, text string")
+    near = P.enclosing(P.pairable(P.scored(P.pair_counts(msa.where("fam < 3"))), -400), C.cumulative_occupancy(cells_of(msa, "fam")), 6)
+    for table in (None, rule_loops(spark)):
+        want = sorted(map(tuple, loops.summed_loops(loops.loop_energies(cells_of(msa, "fam"), near, table)).collect()))
+        got = loops.loop_totals(msa, near, table, rows=8)
+        assert want and sorted(map(tuple, got.collect())) == want
+
+
 def test_identity_range_is_that_of_all_pairs(spark):
     rows = [(f, k, t) for f, n in ((1, 120), (2, 30), (3, 1)) for k, t in enumerate(_rows(n))] + [(4, k, "ACGU") for k in range(3)] + [(5, 0, None), (5, 1, ""), (6, 0, "A漢"), (6, 1, "CĀ")]
     msa = spark.createDataFrame(rows, "fam int, seq long, text string")
