@@ -71,6 +71,19 @@ def plain_pattern(pattern: str) -> re.Pattern | None:
     return None if r"\p" in own else re.compile(own)
 
 
+class Codes(dict):
+    """Pre-tokens to numbers in the order of their first lookup; ``new`` are those not encoded yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, x: str) -> int:
+        self.new.append(x)
+        self[x] = n = len(self)
+        return n
+
+
 class Encoder:
     """The ids of whole texts, exactly as the tokenizer file gives them.
 
@@ -88,17 +101,16 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code = Codes()
         self.ids, self.starts, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self) -> None:
+        new, self.code.new = self.code.new, []
         ids, size = [self.ids], []
         for lo in range(0, len(new), 2000):
             e = self.whole.encode(" ".join(new[lo : lo + 2000]), add_special_tokens=False)
             ids.append(np.array(e.ids, np.uint32))
             size.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(new[lo : lo + 2000])))
-        for x in new:
-            self.code[x] = len(self.code)
         self.size = np.concatenate([self.size, *size])
         self.ids = np.concatenate(ids)
         self.starts = np.concatenate(([0], np.cumsum(self.size)[:-1]))
@@ -110,15 +122,13 @@ class Encoder:
         split = []
         for i, t in enumerate(texts):
             if self.find and PLAIN.fullmatch(t) and "<|" not in t:
-                split.append((i, self.find(unicodedata.normalize("NFC", t).lower())))
+                found = self.find(unicodedata.normalize("NFC", t).lower())
+                split.append((i, np.fromiter(map(self.code.__getitem__, found), np.int64, len(found))))
             else:
                 out[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
-        known = self.code
-        new = list({x: None for _, s in split for x in s if x not in known})
-        if new:
-            self.learn(new)
-        for i, s in split:
-            code = np.fromiter(map(known.__getitem__, s), np.int64, len(s))
+        if self.code.new:
+            self.learn()
+        for i, code in split:
             size = self.size[code]
             ends = np.cumsum(size)
             at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[code] - ends + size, size)
